@@ -32,8 +32,8 @@ _LINE_WORD = re.compile(r"[^ \t-\r]")
 #: Metric: expression over the figures, slack added to the upper fence, whether it has a lower fence.
 METRICS = {
     "symbol_ratio": (lambda: F.col("n_symbols") / F.greatest("word_chars", F.lit(1)), 0.05, False),
-    "repeat_ratio": (lambda: F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)), 0.2, False),
-    "dup_line_ratio": (lambda: F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), 0.3, False),
+    "repeat_ratio": (lambda: F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)), 0.4, False),
+    "dup_line_ratio": (lambda: F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), 0.5, False),
     "word_length": (lambda: F.col("word_chars") / F.greatest("n_words", F.lit(1)), 1.0, True),
 }
 
