@@ -156,10 +156,11 @@ def _keep(found: Column) -> Column:
 
 def scan(docs: DataFrame, table=None) -> DataFrame:
     """Per document: n_words, base places with first and last word, labels and score."""
+    gates = GATES if table is None else {r[2] for r in table}
     table = _rule_array(rules() if table is None else table)
     canon = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("canon"))
     gated = F.lit(False)
-    for g in GATES + tuple(BASE):
+    for g in (*gates, *BASE):
         gated |= F.contains("canon", F.lit(g))
     cut = canon.select("doc_id", F.when(F.length(F.trim("canon")) == 0, F.lit(0)).otherwise(_spaces(F.col("canon")) - 1).cast("long").alias("n_words"), F.when(gated, F.col("canon")).alias("canon"))
     sorted_found = F.array_sort(
