@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tracemill.llm import decontamination, license_scan, packing, quality_classifier, quality_rules, secret_scan, sst, token_counts
+from tracemill.llm import decontamination, jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, sst, token_counts
 
 #: Registered queries, by name.
 QUERIES: dict[str, Callable] = {
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable] = {
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_sst_output": sst.op8_sst_output,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
