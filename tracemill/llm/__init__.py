@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tracemill.llm import decontamination, jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, sst, token_counts
+from tracemill.llm import decontamination, jaccard_join, license_scan, packing, quality_classifier, quality_rules, repeats, secret_scan, sst, token_counts
 
 #: Registered queries, by name.
 QUERIES: dict[str, Callable] = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_packing": packing.op3_packing,
+    "op4_repeats": repeats.op4_repeats,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_token_counts": token_counts.op7_token_counts,
