@@ -99,6 +99,16 @@ def test_tree_finds_every_similar_pair():
     assert got == want and want
 
 
+def test_groups_of_mixed_dimensions():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (350, 380, 400, 470, 760, 800, 6000)]
+    sets += [np.unique(np.concatenate([s[: int(len(s) * 0.92)], rng.integers(0, 1 << 62, int(len(s) * f)).astype(np.uint64)])) for s in sets for f in (0.02, 0.2)]
+    size = np.asarray([len(s) for s in sets])
+    got = {(a, b) for x, y in j._group_pairs(np.arange(len(sets)), np.arange(len(sets)), size, [j.counts_of(s).tobytes() for s in sets]) for a, b in zip(x.tolist(), y.tolist())}
+    want = {(a, b) for a, b in combinations(range(len(sets)), 2) if j.similar(len(np.intersect1d(sets[a], sets[b])), size[a], size[b])}
+    assert want and want <= got
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7)]
     got = {tuple(r) for r in cc.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

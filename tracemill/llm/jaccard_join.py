@@ -34,11 +34,12 @@ from tracemill.llm.components import components
 from tracemill.llm.shingles import digest, shingle_sets
 
 NUMERATOR, DENOMINATOR = 75, 100
-DIMENSIONS = 32
+DIMENSIONS = 64  # least number of hash groups; larger sets have about one for six shingles
 FREQUENT = 200_000  # bound of the list of frequent shingles
 FLUSH = 2_000_000  # shingles that a task counts or packs at a time
 BUCKET_BYTES = 25_000_000  # text per bucket of prefixes
 CHUNK = 20_000  # nodes of a group in one task
+SMALL = 256  # groups up to this size share tasks
 
 
 def similar(overlap, n1, n2):
@@ -178,13 +179,23 @@ def _groups(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
+def counts_of(tokens: np.ndarray) -> np.ndarray:
+    """Shingles by hash group, one byte each; a power of two of groups, so that finer ones fold to coarser."""
+    groups = max(DIMENSIONS, 1 << (len(tokens) // 6).bit_length())
+    while True:
+        counts = np.bincount((tokens >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups)
+        if counts.max(initial=0) < 256:
+            return counts.astype(np.uint8)
+        groups *= 2
+
+
 def _compressed(batches):
     """Texts as (node, counts by hash group, compressed text)."""
     out = pa.schema([("node", pa.int64()), ("counts", pa.binary()), ("z", pa.binary())])
     z = zstandard.ZstdCompressor(level=3)
     for part in text_slices(batches):
         texts = part.column("text").to_pylist()
-        rows = [(digest(s), np.bincount((s >> np.uint64(7)).astype(np.int64) % DIMENSIONS, minlength=DIMENSIONS).astype(np.uint32).tobytes(), z.compress(t.encode("utf-8", "surrogatepass"))) for t, s in zip(texts, shingle_sets(texts)) if len(s)]
+        rows = [(digest(s), counts_of(s).tobytes(), z.compress(t.encode("utf-8", "surrogatepass"))) for t, s in zip(texts, shingle_sets(texts)) if len(s)]
         yield batch_of(out, rows)
 
 
@@ -284,27 +295,47 @@ class CountTree:
                 stack += [(a, y) for a in x[3]]
 
 
+def _group_pairs(node: np.ndarray, label: np.ndarray, size: np.ndarray, counts: list[bytes]):
+    """Candidate pairs of one group. Points of one dimension are joined with each other and, folded, with
+    the finer ones of at most a third more shingles."""
+    dimension = np.fromiter(map(len, counts), np.int64, len(counts))
+    for d in np.unique(dimension).tolist():
+        coarse = dimension == d
+        rows = np.flatnonzero((dimension >= d) & (NUMERATOR * size <= DENOMINATOR * size[coarse].max()))
+        if len(rows) < 2 or (label[rows] == label[rows[0]]).all():
+            continue
+        points = np.stack([np.frombuffer(counts[i], np.uint8).reshape(-1, d).sum(0, dtype=np.int64) for i in rows.tolist()])
+        for i, j in CountTree(points, size[rows]).pairs(label[rows]):
+            i, j = rows[i], rows[j]
+            use = coarse[i] | coarse[j]
+            yield np.minimum(node[i], node[j])[use], np.maximum(node[i], node[j])[use]
+
+
 def _tree_pairs(table: pa.Table) -> pa.Table:
-    """Candidate pairs of one group (or pair of chunks of one)."""
-    node = table.column("node").to_numpy()
-    label, size = table.column("label").to_numpy(), table.column("size").to_numpy()
-    points = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32).reshape(len(node), DIMENSIONS)
-    left, right = [], []
-    for i, j in CountTree(points, size).pairs(label):
-        left.append(np.minimum(node[i], node[j]))
-        right.append(np.maximum(node[i], node[j]))
-    a, b = (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
-    return pa.table({"a": a, "b": b})
-
-
-def _chunked(members: DataFrame, chunk: int) -> DataFrame:
-    """Keys under which all pairs of a group that may be similar meet: bands of size, pairs of chunks."""
-    band = F.floor(F.log(F.col("size").cast("double")) / math.log(DENOMINATOR / NUMERATOR) + 1e-9)
-    banded = members.withColumn("band", F.explode(F.array(band, band + 1)))
+    """Distinct candidate pairs of the groups in one task."""
+    table = table.sort_by("shingle")
+    columns = [table.column(c).to_numpy() for c in ("node", "label", "size")]
+    group, counts = table.column("shingle").to_numpy(), table.column("counts").to_pylist()
+    cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+    found = [np.stack(x, 1) for a, b in zip(cuts[:-1], cuts[1:]) for x in _group_pairs(*(c[a:b] for c in columns), counts[a:b])]
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _chunked(members: DataFrame, chunk: int, tasks: int) -> DataFrame:
+    """Members with the task in which all pairs of their group that may be similar meet.
+
+    Small groups share tasks. Large ones are split into bands of size, two of which a node is in, and
+    into pairs of chunks.
+    """
+    columns = ("shingle", "node", "label", "size", "counts")
+    small = members.where(F.col("members") <= min(SMALL, chunk)).select(F.pmod("shingle", F.lit(tasks)).alias("task"), F.lit(0).alias("band"), F.lit(0).alias("c1"), F.lit(0).alias("c2"), *columns)
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(DENOMINATOR / NUMERATOR) + 1e-9).cast("int")
+    banded = members.where(F.col("members") > min(SMALL, chunk)).withColumn("band", F.explode(F.array(band, band + 1)))
     parts = F.ceil(F.col("members") / chunk).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
     meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(mine, j).alias("c1"), F.greatest(mine, j).alias("c2")))
-    return banded.select("shingle", "band", "node", "label", "size", "counts", F.inline(meets))
+    return small.union(banded.select(F.col("shingle").alias("task"), "band", *columns, F.inline(meets)).select("task", "band", "c1", "c2", *columns))
 
 
 def links(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
@@ -321,7 +352,7 @@ def links(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     packed = plain.select("text").mapInArrow(_postings(frequent, buckets), "bucket int, nodes binary, sizes binary, shingles binary, owner binary")
     groups = materialize(packed.groupBy("bucket").applyInArrow(_groups, "a long, b long, shingle long, size int, members int"), "groups")
     stars = groups.where("a is not null").select("a", "b").distinct()
-    large = groups.where("a is null").select(F.col("b").alias("node"), "shingle", "size", "members")
+    large = groups.where("a is null").select(F.col("b").alias("node"), "shingle", "size", "members").distinct()  # buckets may hold the same group
 
     wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(large.select("node")).distinct()
     texts = _texts(plain, members, wanted)
@@ -331,7 +362,7 @@ def links(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     labelled = large.join(labels.select("node", F.col("label").alias("known")), "node", "left").withColumn("label", F.coalesce("known", "node")).drop("known")
     mixed = labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("shingle")
     open_groups = labelled.join(mixed, "shingle", "left_semi").join(texts.select("node", "counts"), "node")
-    tried = _chunked(open_groups, chunk).groupBy("shingle", "band", "c1", "c2").applyInArrow(_tree_pairs, "a long, b long").distinct()
+    tried = _chunked(open_groups, chunk, 8 * buckets).groupBy("task", "band", "c1", "c2").applyInArrow(_tree_pairs, "a long, b long").distinct()
     second = materialize(verified(tried, texts), "links")
     return members, first.union(second)
 
