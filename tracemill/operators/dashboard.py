@@ -18,7 +18,7 @@ def run_evidence(facts: DataFrame, fields: DataFrame, completed: str = "task_com
     signals = facts.where(F.col("semantic_kind").isin(*DECISION_SIGNALS, completed)).groupBy("run_id").agg(F.size(kinds).alias("signals"), F.array_contains(kinds, completed).alias("completed"))
     joined = fields.select("run_id", "session_id", "ready").join(signals, "run_id", "left")
     strong = F.col("ready") & F.coalesce("completed", F.lit(False)) & (F.col("signals") >= 2)
-    return joined.select("run_id", "session_id", F.coalesce("signals", F.lit(0)).cast("long").alias("signals"), F.when(strong, "E2").when("ready", "E1").otherwise("E0").alias("level"))
+    return joined.select("run_id", "session_id", F.coalesce("signals", F.lit(0)).cast("long").alias("signals"), F.when(strong, "E2").when(F.col("ready"), "E1").otherwise("E0").alias("level"))
 
 
 def session_evidence(runs: DataFrame) -> DataFrame:
@@ -102,5 +102,5 @@ def prepare(spans: DataFrame, branches: DataFrame, secrets: DataFrame) -> DataFr
 def anomalies(spans: DataFrame) -> DataFrame:
     """Per run what is odd about it, mean latency and outcome."""
     run = spans.groupBy("run_id").agg(F.bool_or(F.col("outcome") == "failed").alias("failed"), F.bool_or(F.col("outcome") == "open").alias("open"), round_to(F.sum("latency_ms") / F.count("latency_ms"), 1).alias("avg_latency_ms"), F.max_by("outcome", in_order()).alias("last_outcome"))
-    found = F.array_compact(F.array(F.when("failed", "failed_requests"), F.when("open", "open_requests"), F.when(F.col("avg_latency_ms") > 1000, "slow")))
+    found = F.array_compact(F.array(F.when(F.col("failed"), "failed_requests"), F.when(F.col("open"), "open_requests"), F.when(F.col("avg_latency_ms") > 1000, "slow")))
     return run.select("run_id", F.array_join(found, ",").alias("anomalies"), "avg_latency_ms", "last_outcome")
