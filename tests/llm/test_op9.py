@@ -94,7 +94,7 @@ def test_tree_finds_every_similar_pair():
     base = rng.poisson(4, (6, j.DIMENSIONS))
     points = np.concatenate([np.maximum(0, b + rng.integers(-1, 2, (60, j.DIMENSIONS))) for b in base])
     sizes, label = points.sum(1), np.arange(360) % 50
-    got = {(min(a, b), max(a, b)) for i, k in j.CountTree(points, sizes).pairs(label) for a, b in zip(i.tolist(), k.tolist())}
+    got = {(min(a, b), max(a, b)) for i, k, _ in j.CountTree(points, sizes).pairs(label) for a, b in zip(i.tolist(), k.tolist())}
     want = {(a, b) for a, b in combinations(range(360), 2) if label[a] != label[b] and j.similar(np.minimum(points[a], points[b]).sum(), sizes[a], sizes[b])}
     assert got == want and want
 
@@ -104,7 +104,7 @@ def test_groups_of_mixed_dimensions():
     sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (350, 380, 400, 470, 760, 800, 6000)]
     sets += [np.unique(np.concatenate([s[: int(len(s) * 0.92)], rng.integers(0, 1 << 62, int(len(s) * f)).astype(np.uint64)])) for s in sets for f in (0.02, 0.2)]
     size = np.asarray([len(s) for s in sets])
-    got = {(a, b) for x, y in j._group_pairs(np.arange(len(sets)), np.arange(len(sets)), size, [j.counts_of(s).tobytes() for s in sets]) for a, b in zip(x.tolist(), y.tolist())}
+    got = {(a, b) for x, y, _ in j._group_pairs(np.arange(len(sets)), np.arange(len(sets)), size, [j.counts_of(s).tobytes() for s in sets]) for a, b in zip(x.tolist(), y.tolist())}
     want = {(a, b) for a, b in combinations(range(len(sets)), 2) if j.similar(len(np.intersect1d(sets[a], sets[b])), size[a], size[b])}
     assert want and want <= got
 

@@ -8,7 +8,8 @@
    of large families are then of one component and need nothing more.
 4. In groups that still hold several components, nodes are points: the counts of their shingles by hash
    group. A bulk-loaded R-tree, joined with itself, bounds the overlap of boxes, then of points, by the sum
-   of the coordinates' minima; surviving pairs of different components are verified on whole texts.
+   of the coordinates' minima; surviving pairs of different components are verified on whole texts: first
+   the pair of highest bound of every node, then those whose nodes are in different components even so.
 5. Components of all verified links give every document its component.
 
 Groups are split by set size (bands in which a pair must meet) and large ones into pairs of chunks, so no
@@ -34,7 +35,7 @@ from tracemill.llm.components import components
 from tracemill.llm.shingles import digest, shingle_sets
 
 NUMERATOR, DENOMINATOR = 75, 100
-DIMENSIONS = 64  # least number of hash groups; larger sets have about one for six shingles
+DIMENSIONS = 64  # least number of hash groups; larger sets have about one for each shingle
 FREQUENT = 200_000  # bound of the list of frequent shingles
 FLUSH = 2_000_000  # shingles that a task counts or packs at a time
 BUCKET_BYTES = 25_000_000  # text per bucket of prefixes
@@ -181,7 +182,7 @@ def _groups(table: pa.Table) -> pa.Table:
 
 def counts_of(tokens: np.ndarray) -> np.ndarray:
     """Shingles by hash group, one byte each; a power of two of groups, so that finer ones fold to coarser."""
-    groups = max(DIMENSIONS, 1 << (len(tokens) // 6).bit_length())
+    groups = max(DIMENSIONS, 1 << (len(tokens) // 2).bit_length())
     while True:
         counts = np.bincount((tokens >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups)
         if counts.max(initial=0) < 256:
@@ -252,7 +253,7 @@ class CountTree:
             spread = points[rows].var(0)
             return tile(rows[:half], int(spread.argmax())) + tile(rows[half:], int(spread.argmax()))
 
-        self.points, self.sizes = points.astype(np.int64), sizes.astype(np.int64)
+        self.points, self.sizes = points, sizes.astype(np.int64)
         self.leaves = tile(np.arange(len(sizes)), -1) if len(sizes) else []
         level = [(self.points[r].max(0), int(self.sizes[r].min()), int(self.sizes[r].max()), i) for i, r in enumerate(self.leaves)]
         while len(level) > 1:
@@ -268,10 +269,10 @@ class CountTree:
         """No pair of the boxes is similar unless the minima of their upper corners add up to enough."""
         if NUMERATOR * max(x[1], y[1]) > DENOMINATOR * min(x[2], y[2]):
             return False
-        return similar(int(np.minimum(x[0], y[0]).sum()), x[1], y[1])
+        return similar(int(np.minimum(x[0], y[0]).sum(dtype=np.int64)), x[1], y[1])
 
     def pairs(self, components: np.ndarray):
-        """Arrays (i, j) of points of different components whose bound is enough."""
+        """Arrays (i, j, bound) of points of different components whose bound is enough."""
         stack = [(self.root, self.root)] if self.root is not None else []
         while stack:
             x, y = stack.pop()
@@ -279,13 +280,13 @@ class CountTree:
                 continue
             if isinstance(x[3], int) and isinstance(y[3], int):
                 i, j = self.leaves[x[3]], self.leaves[y[3]]
-                bound = np.minimum(self.points[i][:, None], self.points[j][None]).sum(2)
+                bound = np.minimum(self.points[i][:, None], self.points[j][None]).sum(2, dtype=np.int64)
                 good = similar(bound, self.sizes[i][:, None], self.sizes[j][None]) & (components[i][:, None] != components[j][None])
                 if x is y:
                     good &= np.arange(len(i))[:, None] < np.arange(len(j))[None]
                 p, q = np.nonzero(good)
                 if len(p):
-                    yield i[p], j[q]
+                    yield i[p], j[q], bound[p, q]
             elif x is y:
                 kids = x[3]
                 stack += [(a, b) for k, a in enumerate(kids) for b in kids[k:]]
@@ -304,11 +305,12 @@ def _group_pairs(node: np.ndarray, label: np.ndarray, size: np.ndarray, counts:
         rows = np.flatnonzero((dimension >= d) & (NUMERATOR * size <= DENOMINATOR * size[coarse].max()))
         if len(rows) < 2 or (label[rows] == label[rows[0]]).all():
             continue
-        points = np.stack([np.frombuffer(counts[i], np.uint8).reshape(-1, d).sum(0, dtype=np.int64) for i in rows.tolist()])
-        for i, j in CountTree(points, size[rows]).pairs(label[rows]):
+        points = np.stack([np.frombuffer(counts[i], np.uint8).reshape(-1, d).sum(0, dtype=np.uint16) for i in rows.tolist()])
+        for i, j, bound in CountTree(points, size[rows]).pairs(label[rows]):
             i, j = rows[i], rows[j]
             use = coarse[i] | coarse[j]
-            yield np.minimum(node[i], node[j])[use], np.maximum(node[i], node[j])[use]
+            share = (1e6 * bound / (size[i] + size[j] - bound)).astype(np.int64)
+            yield np.minimum(node[i], node[j])[use], np.maximum(node[i], node[j])[use], share[use]
 
 
 def _tree_pairs(table: pa.Table) -> pa.Table:
@@ -318,8 +320,10 @@ def _tree_pairs(table: pa.Table) -> pa.Table:
     group, counts = table.column("shingle").to_numpy(), table.column("counts").to_pylist()
     cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
     found = [np.stack(x, 1) for a, b in zip(cuts[:-1], cuts[1:]) for x in _group_pairs(*(c[a:b] for c in columns), counts[a:b])]
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    pairs = np.concatenate(found) if found else np.empty((0, 3), np.int64)
+    pairs = pairs[np.lexsort((-pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
+    new = np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(1)])[: len(pairs)]
+    return pa.table({"a": pairs[new, 0], "b": pairs[new, 1], "share": pairs[new, 2]})
 
 
 def _chunked(members: DataFrame, chunk: int, tasks: int) -> DataFrame:
@@ -362,9 +366,17 @@ def links(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     labelled = large.join(labels.select("node", F.col("label").alias("known")), "node", "left").withColumn("label", F.coalesce("known", "node")).drop("known")
     mixed = labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("shingle")
     open_groups = labelled.join(mixed, "shingle", "left_semi").join(texts.select("node", "counts"), "node")
-    tried = _chunked(open_groups, chunk, 8 * buckets).groupBy("task", "band", "c1", "c2").applyInArrow(_tree_pairs, "a long, b long").distinct()
-    second = materialize(verified(tried, texts), "links")
-    return members, first.union(second)
+    trees = _chunked(open_groups, chunk, 8 * buckets).groupBy("task", "band", "c1", "c2").applyInArrow(_tree_pairs, "a long, b long, share long")
+    tried = materialize(trees.groupBy("a", "b").agg(F.max("share").alias("share")), "pairs")
+
+    best = F.max(F.struct("share", "a", "b")).alias("best")
+    chosen = tried.groupBy("a").agg(best).select("best").union(tried.groupBy("b").agg(best).select("best")).select("best.a", "best.b").distinct()
+    second = materialize(verified(chosen, texts), "links")
+    labels = components(first.union(second), "a", "b")
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
+    apart = tried.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(a_label, a) <> coalesce(b_label, b)")
+    third = materialize(verified(apart.select("a", "b").join(chosen, ["a", "b"], "left_anti"), texts), "links")
+    return members, first.union(second).union(third)
 
 
 def join_components(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
