@@ -63,3 +63,41 @@ def test_expression_equals_forest(spark, forest):
 def test_nothing_in_python(spark, forest):
     plan = s.scan(table(spark), forest)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan.replace("RoundRobin", "")
+
+
+LONG = "Zm9vYmFy8QxT/k2+Lw9d" * 45
+LATE = "QmFzZVpoTkxrVHdYcFJzR" * 5 + "7" + "hKqVbNcX"
+LINES = "\n".join(("MIIEpAIBAAKCAQEA" + hex(7**i)[2:] + "qZ/x+" * 20)[:64] for i in range(40, 64))
+KEYS = {
+    "closed": f"-----BEGIN RSA PRIVATE KEY-----\n{LINES}\n-----END RSA PRIVATE KEY-----",
+    "open": f"-----BEGIN EC PRIVATE KEY-----\n{LINES}",
+    "one line": "-----BEGIN PRIVATE KEY-----\\n" + LINES.replace("\n", "\\n") + "\\n-----END PRIVATE KEY-----",
+}
+
+
+def test_whole_tokens_and_keys_are_redacted(spark, forest):
+    """Nothing of a long value, a long provider's key or a key's body is left."""
+    mark = "<redacted:secret>"
+    cases = [
+        (f'x token = "{LONG}" y', f'x token = "{mark}" y'),
+        (f"x password={LONG}!{LONG} y", f"x password={mark} y"),
+        (f"Authorization: Bearer {LONG.replace('/', '_').replace('+', '-')} y", f"Authorization: Bearer {mark} y"),
+        (f"x ghp_{'aB3dE5gH' * 5}/{LONG} y", f"x {mark} y"),
+        (f"a {KEYS['closed']} b", f"a {mark} b"),
+        (f"a\n{KEYS['open']}", f"a\n{mark}"),
+        (f'{{"private_key": "{KEYS["one line"]}\\n", "x": 1}}', f'{{"private_key": "{mark}\\n", "x": 1}}'),
+        (f"{KEYS['closed']}\n{KEYS['closed']}\nplain", f"{mark}\n{mark}\nplain"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in s.redact(docs, forest).collect()} == {i: w for i, (_, w) in enumerate(cases)}
+
+
+def test_candidates_are_whole(spark, forest):
+    """Runs of any length, digits after any number of letters, marks without a digit, keys after a run."""
+    texts = [f"see {LONG} there", f"see {LATE} there", "see glpat-abcdefghijklmnopqrst end", "see npm_" + "abcdef" * 6 + " end", "see eyJabcdefghij.eyJklmnopqrst end", f"run1234567890abcdef{KEYS['closed']} end", "plain words"]
+    want = [[LONG], [LATE], ["glpat-abcdefghijklmnopqrst"], ["npm_" + "abcdef" * 6], ["eyJabcdefghij.eyJklmnopqrst"], ["run1234567890abcdef", KEYS["closed"]], []]
+    rows = s.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), forest).collect()
+    got = [sorted((r.start, r.length) for r in rows if r.doc_id == i) for i in range(len(texts))]
+    assert [[t[a : a + n] for a, n in g] for t, g in zip(texts, got)] == want
+    huge = spark.createDataFrame([(1, "a1" * 500_000), (2, "-" * 500_000 + "1"), (3, "token=" + "a!" * 300_000), (4, "-----BEGIN PRIVATE KEY-----" * 10_000)], "doc_id long, text string")
+    assert {r.doc_id: r.length for r in s.scan(huge, forest).collect()} == {1: 1_000_000, 2: 500_001, 3: 600_000, 4: 270_000}

@@ -1,8 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame functions only.
 
-A candidate is a run of key-like characters with a digit, a key with a provider's mark, a private key's
-head, or the value after a word such as ``password`` or ``token`` with ``=`` or ``:``. Its features are
-length, shares of character classes, character transitions, dictionary coverage, signs of a path around
+A candidate is a run of key-like characters with a digit, a key with a provider's mark, a private key from
+its head to its end line (or the text's end), or the value after a word such as ``password`` or ``token``
+with ``=`` or ``:``, whole at any length. Its features are length, shares of character classes, character transitions, dictionary coverage, signs of a path around
 it and neighbouring words. A random forest of labelled findings (Spark ML, on DataFrames) gives the
 share of trees that call it a secret; the fitted trees become one SQL expression, so that a scan is a
 single pass within rows: no shuffle, no join, no Python.
@@ -23,13 +23,15 @@ AROUND = 60
 #: Marks of well-known keys.
 PROVIDER = r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|sk[-_](?:live|test|ant|proj)?[-_]?[A-Za-z0-9_-]{16,}|npm_[A-Za-z0-9]{30,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_.-]{8,}"
 NAMES = r"password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|credential|private[_-]?key"
+HEAD = r"-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+#: Repeats are possessive and unbounded: a candidate is a whole value, run or private key, and none runs into a private key.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-    rf"|(?<![A-Za-z0-9])(?:{PROVIDER})"
-    rf"|(?<=[=: \"'])(?<=(?i:{NAMES})[\"']?[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?)[^\s\"'<>,;]{{8,200}}"
-    r"|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]{0,60}[0-9])[A-Za-z0-9_+/-]{16,400}={0,2}"
+    rf"{HEAD}(?s:.*?)(?:{HEAD.replace('BEGIN', 'END')}|\z)"
+    rf"|(?<![A-Za-z0-9])(?:{PROVIDER})(?:[A-Za-z0-9_+/]|-(?!{HEAD[1:]}))*+={{0,2}}"
+    rf"|(?<=[=: \"'])(?<=(?i:{NAMES})[\"']?[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?)(?:(?!{HEAD})[^\s\"'<>,;]){{8,}}+"
+    rf"|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]*+[0-9])(?:[A-Za-z0-9_+/]|-(?!{HEAD[1:]})){{16,}}+={{0,2}}"
 )
-GATE = rf"[0-9]|PRIVATE KEY|(?i:{NAMES})[\"']?[ ]{{0,2}}[=:]|AKIA|ASIA|gh[pousr]_|xox|AIza|sk[-_]"
+GATE = rf"[0-9]|PRIVATE KEY|(?i:{NAMES})[\"']?[ ]{{0,2}}[=:]|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox|AIza|sk[-_]|npm_|eyJ"
 DICTIONARY = "about account after all and any app are base been book but can changeme city client code color config connection content country data database date default demo department description document domain download dummy east email error event example field file first folder for from group has have home host http image index info item key last letter level line link list local log login long main manager map market master message model module money month name new news not number object of office open option order other page paper part party password path people person phone picture place placeholder plan point policy power product program project public question read record release report request result right river room sample school screen secret section server service session set settings short side site source south start state station status step store story street string student style system table team test that the this time title token total town tree type update url user value version video view water way web week west with word work world www year your".split()
 _DICT = "|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w)))
 _PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce"
@@ -73,6 +75,10 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     b64 = lambda k, size: F.substring(F.base64(F.unhex(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{k}")), 512))), 1, size)
     base36 = lambda k, size: F.upper(F.substring(F.translate(b64(k, 86), "+/=", "7q2"), 1, size))
     uuid = F.concat_ws("-", hexa(1, 8), F.substring(hexa(2, 64), 3, 4), F.substring(hexa(3, 64), 5, 4), F.substring(hexa(4, 64), 7, 4), hexa(5, 12))
+    chained = lambda k, n, size, end: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.substring(F.base64(F.unhex(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{k}/"), i.cast("string")), 512))), 1, size)), end)
+    long = lambda k, size: F.substring(chained(k, -(-size // 86), 86, ""), 1, size)
+    body = lambda k, lines, end: chained(k, lines, 64, end)
+    key = lambda kind, k, lines, end="\n": F.concat(F.lit(f"-----BEGIN {kind}PRIVATE KEY-----{end}"), body(k, lines, end), F.lit(f"{end}-----END {kind}PRIVATE KEY-----"))
     phrase = lambda *k: F.concat_ws("_", *(pick(i) for i in k))
     # fmt: off
     cases = [  # token, before, after, secret
@@ -81,6 +87,8 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (F.concat(F.lit("ghp_"), F.translate(b64(5, 36), "+/", "aB")), "use ", " for", 1), (F.concat(F.lit("sk-"), F.translate(b64(6, 44), "+/", "cD")), "key: ", "\n", 1),
         (F.translate(b64(7, 24), "+/", "eF"), 'secret: "', '"', 1), (hexa(8, 32), "api_key=", "&x", 1),
         (F.concat(pick(1), b64(9, 8)), "password: ", "\n", 1), (F.translate(b64(10, 64), "+/", "-_"), "Authorization: Bearer ", "\n", 1),
+        (long(1, 320), 'token = "', '"', 1), (long(2, 900), "credentials: ", "\n", 1), (F.translate(long(3, 500), "+/", "-_"), "Authorization: Bearer ", "\n", 1), (F.concat(hexa(20, 64), hexa(21, 64), hexa(22, 64)), "secret=", "\n", 1),
+        (key("RSA ", 4, 12), "\n", "\n", 1), (key("", 5, 20), "the key is ", " here", 1), (key("", 6, 16, "\\n"), '"private_key": "', '"', 1), (F.concat(F.lit("-----BEGIN EC PRIVATE KEY-----\n"), body(7, 3, "\n")), "\n", "", 1),
         (hexa(11, 40), "commit ", "\n", 0), (hexa(12, 64), "sha256: ", "\n", 0), (uuid, "id: ", ",", 0), (uuid, "see ", " there", 0),
         (F.concat(phrase(1, 2, 3), F.lit("_2")), "call ", "(", 0), (F.concat_ws("/", pick(4), pick(5), pick(6), hexa(13, 7)), "https://www.site.com/", ".html", 0),
         (F.lit("your_password_here1"), 'password="', '"', 0), (F.concat(F.lit("example_token_"), hexa(14, 4)), 'token = "', '"', 0),
@@ -88,6 +96,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (F.concat(F.lit("2024-0"), F.pmod("id", F.lit(9)).cast("string"), F.lit("-11T10-20-30")), "at ", " the", 0), (F.concat_ws("-", pick(7), pick(8), pick(9), F.lit("2020")), "a ", " one", 0),
         (F.concat(phrase(1, 4), F.lit("()")), "password = ", ";", 0), (hexa(17, 32), "md5 = ", "\n", 0),
         (F.concat_ws("/", F.lit("usr"), pick(2), pick(8), F.lit("v2")), "open /", "/x", 0), (hexa(18, 40), "/objects/", "/a", 0),
+        (long(8, 700), "data:image/png;base64,", '"', 0), (F.concat(hexa(23, 64), hexa(24, 64)), "sha512: ", "\n", 0), (F.concat_ws("/", phrase(30, 31, 32), phrase(33, 34, 35), phrase(36, 37, 38), hexa(25, 7)), "https://www.site.com/", ".html", 0),
         (phrase(3, 9, 2), "auth: ", ",", 0), (F.conv(hexa(19, 15), 16, 10), "id=", "&", 0),
     ]
     # fmt: on
@@ -95,7 +104,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     half, turn = F.pmod("id", F.lit(2)), F.floor(F.col("id") / 2)
     row = lambda c: F.struct(c[0].alias("token"), F.lit(c[1]).alias("before"), F.lit(c[2]).alias("after"), F.lit(c[3]).alias("label"))
     one = lambda group: F.get(F.array(*map(row, group)), F.pmod(turn, F.lit(len(group))).cast("int"))
-    return spark.range(n).repartition(2).select(F.when(half == 1, one(yes)).otherwise(one(no)).alias("f")).select("f.*")
+    return spark.range(n).select(F.when(half == 1, one(yes)).otherwise(one(no)).alias("f")).select("f.*").repartition(2)  # dealt here, so that no feature holds these expressions
 
 
 _NODE = re.compile(r"^ *(?:(If|Else) \(feature (\d+) (<=|>|in|not in) (.+)\)|Predict: ([-0-9.eE]+))$")
