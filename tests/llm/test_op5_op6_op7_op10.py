@@ -93,6 +93,39 @@ def test_license_suppression(spark):
     assert len(license_scan.rules()) > 300
 
 
+def sample(pattern, rng):
+    """A text that a rule's pattern matches."""
+    out = []
+    for op, arg in pattern:
+        match str(op):
+            case "LITERAL":
+                out.append(chr(arg))
+            case "IN":
+                kind, value = rng.choice(arg)
+                out.append(chr(value if str(kind) == "LITERAL" else rng.randint(*value)))
+            case "BRANCH":
+                out.append(sample(rng.choice(arg[1]), rng))
+            case "SUBPATTERN":
+                out.append(sample(arg[3], rng))
+            case _:
+                low, high, inner = arg
+                out += [sample(inner, rng) for _ in range(rng.randint(low, min(high, 2)))]
+    return "".join(out)
+
+
+def test_license_keywords_and_gates_switch_no_rule_off(spark):
+    """All rules tried on all texts give the same as the rules behind keywords and gates."""
+    rng = random.Random(5)
+    table = license_scan.rules()
+    texts = [sample(re._parser.parse(r[3]), rng) for r in table for _ in range(2)]
+    texts += ["Redistribution and use in source and binary forms, with or without modification", "BSD-3-Clause", "MPL-2.0 or later", "EPL 2.0 only", "CDDL-1.0 only", "gfdl version 1.2", "plain words", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(docs).collect()}
+    assert got == {r.doc_id: (r.labels, r.score) for r in license_scan.scan(docs, [(label, p, "", pattern, w) for label, p, _, pattern, w in table]).collect()}
+    named = ["bsd", "bsd-3", "mpl-2", "epl-2", "cddl-1", "fdl-1.2"]
+    assert [want in got[i][0].split(",") for i, want in enumerate(named, len(texts) - 8)] == [True] * 6 and not got[len(texts) - 2][0]
+
+
 def brute_count(scores, text):
     total = 0
     for word in (text or "").encode().split():
