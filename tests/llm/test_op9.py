@@ -76,7 +76,7 @@ def test_join_against_brute_force(spark, tmp_path, seed, monkeypatch):
     rows = corpus(seed)
     rows += [(None, rows[3][1]), (None, "only here " * 20), (rows[5][0], rows[6][1]), rows[7]]
     spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, node string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
-    got = j.op9_jaccard_join(spark, str(tmp_path)) if seed == 1 else j.join_components(spark.read.parquet(f"{tmp_path}/documents.parquet"), chunk=3)
+    got = j.op9_jaccard_join(spark, str(tmp_path)) if seed == 1 else j.join_components(spark.read.parquet(f"{tmp_path}/documents.parquet"), chunk=100)
     assert sorted(map(tuple, got.collect()), key=str) == brute_components(rows)
 
 
@@ -89,24 +89,69 @@ def test_keep_one(spark):
     assert j.join_components(docs.where("false")).count() == 0
 
 
+def test_keep_one_of_null_and_repeated_identifiers(spark):
+    one, two, alone = "a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z"
+    rows = [(5, one, "x"), (1, one, "x"), (5, two, "y"), (5, two, "y"), (None, alone, "z"), (None, alone.upper(), "z"), (None, one, "x"), (7, None, "n"), (7, " ", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = sorted(map(tuple, j.keep_one(docs).collect()), key=str)
+    assert [(r[0], (r[1] or "").lower()) for r in got] == sorted([(1, one), (5, two), (None, alone), (7, ""), (7, " ")], key=str)
+
+
+def test_hot_shingles_and_large_homes(spark, monkeypatch):
+    """A family that fills salted buckets and several chunks, and half of it only linked by a chain."""
+    monkeypatch.setattr(j, "HOT", 20)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        text = list(base)
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(60)] = f"x{rng.randint(0, 999)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, j.join_components(docs, chunk=400).collect()), key=str) == brute_components(rows)
+
+
 def test_tree_finds_every_similar_pair():
     rng = np.random.default_rng(3)
     base = rng.poisson(4, (6, j.DIMENSIONS))
     points = np.concatenate([np.maximum(0, b + rng.integers(-1, 2, (60, j.DIMENSIONS))) for b in base])
     sizes, label = points.sum(1), np.arange(360) % 50
-    got = {(min(a, b), max(a, b)) for i, k, _ in j.CountTree(points, sizes).pairs(label) for a, b in zip(i.tolist(), k.tolist())}
+    got = {(min(a, b), max(a, b)) for i, k in j.CountTree(points, sizes).pairs(label) for a, b in zip(i.tolist(), k.tolist())}
     want = {(a, b) for a, b in combinations(range(360), 2) if label[a] != label[b] and j.similar(np.minimum(points[a], points[b]).sum(), sizes[a], sizes[b])}
     assert got == want and want
 
 
-def test_groups_of_mixed_dimensions():
+def test_screen_keeps_every_similar_pair():
     rng = np.random.default_rng(5)
-    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (350, 380, 400, 470, 760, 800, 6000)]
-    sets += [np.unique(np.concatenate([s[: int(len(s) * 0.92)], rng.integers(0, 1 << 62, int(len(s) * f)).astype(np.uint64)])) for s in sets for f in (0.02, 0.2)]
-    size = np.asarray([len(s) for s in sets])
-    got = {(a, b) for x, y, _ in j._group_pairs(np.arange(len(sets)), np.arange(len(sets)), size, [j.counts_of(s).tobytes() for s in sets]) for a, b in zip(x.tolist(), y.tolist())}
-    want = {(a, b) for a, b in combinations(range(len(sets)), 2) if j.similar(len(np.intersect1d(sets[a], sets[b])), size[a], size[b])}
-    assert want and want <= got
+    make = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    sets = [np.unique(make(n)) for n in (1, 20, 350, 380, 400, 470, 760, 800, 6000, 30_000)]
+    sets += [np.unique(np.concatenate([s[: int(len(s) * 0.92)], make(int(len(s) * f))])) for s in sets[1:] for f in (0.02, 0.2)] + [np.unique(make(n)) for n in (390, 5000)]
+    sizes = np.asarray([len(s) for s in sets])
+    kept = j.screen(sizes, [j.counts_of(s, j.groups_for(len(s))) for s in sets])
+    linked = {x for a, b in combinations(range(len(sets)), 2) if j.similar(len(np.intersect1d(sets[a], sets[b])), sizes[a], sizes[b]) for x in (a, b)}
+    assert linked and linked <= set(np.flatnonzero(kept).tolist()) and not kept[0] and not kept[-2:].any()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_links_of_a_home_connect_what_is_linked(seed):
+    """Sets of mixed sizes; chains of near copies whose ends are not linked; labels given before."""
+    rng = np.random.default_rng(seed)
+    make = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    sets = [np.unique(make(n)) for n in (1, 5, 80, 350, 380, 400, 470, 6000)]
+    for _ in range(150):
+        s = sets[rng.integers(len(sets))]
+        sets.append(np.unique(np.concatenate([s[rng.random(len(s)) < rng.choice([0.97, 0.9, 0.85])], make(int(len(s) * rng.choice([0, 0.02, 0.1])))])))
+    sets = [s for s in sets if len(s)]
+    label = np.arange(len(sets)) if seed % 2 else np.where(rng.random(len(sets)) < 0.2, 0, np.arange(len(sets)))
+    want, merged = label.copy(), label.copy()
+    for a, b in combinations(range(len(sets)), 2):
+        if j.similar(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b])):
+            want[want == want[b]] = want[a]
+    found = j.connect(sets, merged)
+    assert all(j.similar(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b])) for a, b in found)
+    assert len(found) == len(set(label.tolist())) - len(set(want.tolist())) > 0
+    assert len({*zip(want.tolist(), merged.tolist())}) == len(set(want.tolist())) == len(set(merged.tolist()))
 
 
 def test_components_of_a_long_path(spark):

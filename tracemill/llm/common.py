@@ -27,17 +27,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; the driver picks it, so executors never invent names."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder, removed when the session ends.
 
+    The driver picks it, so executors never invent names.
+    """
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _place(spark, path, lambda fs, place: fs.deleteOnExit(place))
+    return path
+
+
+def _place(spark: SparkSession, path: str, act) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    act(place.getFileSystem(spark._jsc.hadoopConfiguration()), place)
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+
+def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Remove the files of a materialised table that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _place(df.sparkSession, folder, lambda fs, place: fs.delete(place, True))
+
+
 def column_or_null(df: DataFrame, name: str, kind: str):
     """``df[name]`` cast to ``kind``, or a typed null where the table has no such column."""
     return (F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)).alias(name)

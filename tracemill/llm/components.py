@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialize
+from tracemill.llm.common import materialize, release
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     current = materialize(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     seen = _sum(current)
     while seen[0]:
-        current = materialize(_small_star(_large_star(current)), "edges")
+        before, current = current, materialize(_small_star(_large_star(current)), "edges")
+        release(before)
         now = _sum(current)
         if now == seen:
             break

@@ -86,6 +86,6 @@ def shingle_sets(texts: list[str | None], size: int = SIZE) -> list[np.ndarray]:
         return [_set(hashes[a:b] if len(raw[i]) <= _CHUNK else _long(raw[i]), size) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
 
 
-def digest(tokens: np.ndarray) -> int:
-    """A signed 64-bit digest of a set."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest(tokens: np.ndarray) -> bytes:
+    """A 128-bit digest of a set."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
