@@ -32,7 +32,7 @@ from tracemill.llm.common import batch_of, materialize, text_slices
 
 BUCKET_BYTES = 32 << 20
 FLUSH = 400_000  # anchors that a task packs at a time
-HOT = 20_000
+HOT = 200_000  # classes of one anchor that a task compares, about 30 MB; beyond them see 3.
 _U = np.uint64
 _PACKED = "bucket int, docs binary, counts binary, anchor_high binary, anchor_low binary, context_high binary, context_low binary"
 
@@ -308,8 +308,10 @@ def find_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     marks = classes.groupBy("doc_id").agg(F.collect_list(F.struct("key", "kind")).alias("marks"))
     compared = marks.where(F.exists("marks", lambda m: m["kind"] != FULL))
     contexts = by_doc.join(compared, "doc_id").mapInArrow(_contexts, "doc_id long, key long, anchor long, crowded boolean, left binary, right binary")
-    trees = contexts.where("not crowded").groupBy(F.pmod("anchor", F.lit(8 * buckets)).alias("bucket")).applyInArrow(_compare, "doc_id long, key long, before int, after int")
     crowded = classes.where(F.col("kind") == CROWDED).limit(1).count() > 0
+    if crowded:  # read by both ways below
+        contexts = materialize(contexts, "contexts")
+    trees = contexts.where("not crowded").groupBy(F.pmod("anchor", F.lit(8 * buckets)).alias("bucket")).applyInArrow(_compare, "doc_id long, key long, before int, after int")
     shares = trees.union(_crowded(contexts.where("crowded"))) if crowded else trees
     parts = shares.groupBy("doc_id").agg(F.collect_list(F.struct("key", "before", "after")).alias("parts"))
     joined = by_doc.join(marks, "doc_id", "left").join(parts, "doc_id", "left")
