@@ -70,31 +70,45 @@ class ChunkEncoder:
             part = rest[i : i + 25_600]
             self.young.update(zip(part, self._library([k[0] if isinstance(k, tuple) else " " + k for k in part])))
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut, wanted = [], set()
-        for text in texts:
-            if not text or any(s in text for s in self.special):
-                cut.append(None)
-                continue
-            chunks = _CUT.split(text)
-            if chunks[0]:
-                chunks[0] = (chunks[0],)
-            else:
-                del chunks[0]
-            cut.append(chunks)
-            wanted.update(chunks)
-        missing = wanted.difference(self.young)
+    def _fetch(self, missing: set) -> None:
+        """Bring chunks into the young generation, from the old one or from the library."""
         if len(self.young) + len(missing) > self.max_chunks:
             self.young, self.old = {}, self.young
-            missing = wanted
         self.young.update({k: self.old[k] for k in missing if k in self.old})
         self._learn([k for k in missing if k not in self.young])
-        get = self.young.__getitem__
-        out = []
-        for text, chunks in zip(texts, cut):
-            if chunks is not None:
-                ids = np.frombuffer(b"".join(map(get, chunks)), np.uint32)
-            else:
-                ids = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids if text else [], np.uint32)
-            out.append(ids)
+
+    def _chunks(self, text: str, cut) -> list:
+        chunks = cut(text)
+        if chunks[0]:
+            chunks[0] = (chunks[0],)
+        else:
+            del chunks[0]
+        return chunks
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Every chunk is looked up once. Texts are cut at all spaces; one with a piece that is empty or opens
+        with white space, which is never in the cache, is cut again by the rule."""
+        out: list = [None] * len(texts)
+        pending, missing, get = [], set(), self.young.get
+        for i, text in enumerate(texts):
+            if not text or any(s in text for s in self.special):
+                out[i] = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids if text else [], np.uint32)
+                continue
+            chunks = self._chunks(text, lambda t: t.split(" "))
+            ids = list(map(get, chunks))
+            try:
+                out[i] = np.frombuffer(b"".join(ids), np.uint32)
+            except TypeError:  # a chunk is not known
+                new = [c for c, v in zip(chunks, ids) if v is None]
+                if any(not c or type(c) is str and c[0].isspace() for c in new):
+                    chunks = self._chunks(text, _CUT.split)
+                    ids = list(map(get, chunks))
+                    new = [c for c, v in zip(chunks, ids) if v is None]
+                missing.update(new)
+                pending.append((i, chunks, ids))
+        if missing:
+            self._fetch(missing)
+        young = self.young
+        for i, chunks, ids in pending:
+            out[i] = np.frombuffer(b"".join([young[c] if v is None else v for c, v in zip(chunks, ids)]), np.uint32)
         return out
