@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +28,13 @@ from pyspark.sql import functions as F
 from tracemill.llm import bpe
 from tracemill.llm.common import batch_of, scratch_path, text_slices
 
-MAGIC = b"TMSST001"
+MAGIC = b"TMSST002"
 _FOOTER = struct.Struct("<QQQQQQ8s")  # index at, filter at, footer at, documents, ids, shard number, magic
 _ENTRY = struct.Struct("<BBI")  # shared bytes, own bytes, ids
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -79,7 +81,7 @@ class ShardWriter:
 
     def _end_block(self) -> None:
         if self.block:
-            data = zlib.compress(bytes(self.block), 1)
+            data = _PACK.compress(bytes(self.block))
             self.index.append((self.first, self.at, len(data)))
             self._put(data)
             self.block = bytearray()
@@ -119,7 +121,7 @@ class ShardReader:
 
     def block(self, at: int, size: int) -> Iterator[tuple[bytes, np.ndarray]]:
         self.stream.seek(at)
-        data, i, key = zlib.decompress(self.stream.read(size)), 0, b""
+        data, i, key = _UNPACK.decompress(self.stream.read(size)), 0, b""
         while i < len(data):
             shared, own, n = _ENTRY.unpack_from(data, i)
             i += _ENTRY.size
