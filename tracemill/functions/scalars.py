@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed patterns of secret-like text, by label.
 SECRET_PATTERNS = (
-    ("openai_key", r"sk-[A-Za-z0-9]{16,}"),
-    ("aws_access_key", r"AKIA[0-9A-Z]{16}"),
-    ("github_token", r"gh[pousr]_[A-Za-z0-9]{20,}"),
+    ("openai_key", r"\bsk-[A-Za-z0-9]{16,}\b"),
+    ("aws_access_key", r"\bAKIA[0-9A-Z]{16}\b"),
+    ("github_token", r"\bgh[pousr]_[A-Za-z0-9]{20,}\b"),
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    ("bearer_token", r"(?i:Bearer)\s+[A-Za-z0-9._\-]{24,}"),
+    ("bearer_token", r"\b(?i:Bearer)\s+[A-Za-z0-9._\-]{24,}\b"),
 )
 
 
@@ -105,11 +105,14 @@ def format_percent(x: Column) -> Column:
     return F.concat(F.floor(x * 100 + 0.5).cast("int").cast("string"), F.lit("%"))
 
 
-def nearest_rank(x: Column, percent: float) -> Column:
-    """Aggregate: element at half-even rounded percent/100 * (n - 1) of the sorted values."""
-    ordered = F.sort_array(F.collect_list(x))
-    return F.get(ordered, F.bround((F.size(ordered) - 1) * F.lit(percent / 100.0), 0).cast("int"))
+def nearest_rank(rows: DataFrame, by: str, value: str, percent: float, name: str) -> DataFrame:
+    """Per group the value at half-even rounded percent/100 * (n - 1) of the sorted ones, from counts by value."""
+    counts = rows.groupBy(by, value).agg(F.count("*").alias("_n"))
+    over = Window.partitionBy(by)
+    ranked = counts.withColumns({"_upto": F.sum("_n").over(over.orderBy(value)), "_all": F.sum("_n").over(over)})
+    reached = F.col("_upto") > F.bround((F.col("_all") - 1) * F.lit(percent / 100.0), 0)
+    return ranked.groupBy(by).agg(F.min(F.when(reached, F.col(value))).alias(name))
 
 
 def clamp(x: Column, default: float) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), round_to(x))), F.lit(default))
+    return F.when(x.isNull(), default).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), round_to(x))))

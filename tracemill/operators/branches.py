@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.operators.scans import in_order
@@ -16,17 +16,24 @@ def _hints(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("hint_branch_type"),
         F.when(F.col("semantic_kind") == "retry_declared", "retry").when(F.col("semantic_kind") == "fallback_declared", "fallback").when(F.col("semantic_kind") == "subagent_declared", "subagent"),
     )
-    hints = facts.where("kind = 'semantic_event'").select("run_id", "ts", "seq", "semantic_kind", "target_fact_id", kind.alias("hint_type"), "hint_branch_id", "hint_status", "hint_parent_branch_id")
+    hints = facts.where("kind = 'semantic_event'").select("run_id", "ts", "seq", "semantic_kind", "target_fact_id", "target_request_id", kind.alias("hint_type"), "hint_branch_id", "hint_status", "hint_parent_branch_id", "hint_parent_fact_id", "hint_parent_request_id")
     closing = F.col("semantic_kind") == "branch_close_declared"
-    return hints.where(~closing & F.col("target_fact_id").isNotNull() & F.col("hint_type").isNotNull()), hints.where(closing)
+    return hints.where(~closing & F.coalesce("target_fact_id", "target_request_id").isNotNull() & F.col("hint_type").isNotNull()), hints.where(closing)
 
 
 def _first(hints: DataFrame, key: str, name: str) -> DataFrame:
     """The first hint in fact order for every (run, key)."""
-    fields = F.struct("semantic_kind", "hint_type", "hint_branch_id", "hint_status", "hint_parent_branch_id", "ts", "seq")
+    fields = F.struct("semantic_kind", "hint_type", "hint_branch_id", "hint_status", "hint_parent_branch_id", "hint_parent_fact_id", "hint_parent_request_id", "ts", "seq")
     return hints.where(F.col(key).isNotNull()).groupBy("run_id", F.col(key).alias(name)).agg(F.min_by(fields, in_order()).alias("hint"))
 
 
+def _earliest(*hints: str) -> Column:
+    """Of several hints the one that comes first in fact order."""
+    at = lambda h: F.struct(F.col(f"{h}.ts").alias("ts"), F.col(f"{h}.seq").alias("seq"))
+    best = F.array_min(F.array_compact(F.array(*(F.when(F.col(h).isNotNull(), F.struct(at(h).alias("at"), F.col(h).alias("hint"))) for h in hints))))
+    return best["hint"]
+
+
 def assign(facts: DataFrame, spans: DataFrame) -> DataFrame:
     """Every request with the case it falls in, its branch and its branch's parent.
 
@@ -35,7 +42,9 @@ def assign(facts: DataFrame, spans: DataFrame) -> DataFrame:
     branch. Numbers count all branches opened so far in the run.
     """
     opening, _ = _hints(facts)
-    known = spans.join(_first(opening, "target_fact_id", "request_fact_id"), ["run_id", "request_fact_id"], "left")
+    by_fact = _first(opening, "target_fact_id", "request_fact_id").withColumnRenamed("hint", "fact_hint")
+    by_request = _first(opening, "target_request_id", "request_id").withColumnRenamed("hint", "request_hint")
+    known = spans.join(by_fact, ["run_id", "request_fact_id"], "left").join(by_request, ["run_id", "request_id"], "left").withColumn("hint", _earliest("fact_hint", "request_hint"))
     case = F.when(F.col("hint").isNotNull(), 1).when(F.col("hinted_type").isNotNull(), 2).when(F.col("hinted_parent").isNotNull(), 3).otherwise(4)
     known = known.withColumn("case", case)
     alike = Window.partitionBy("run_id", F.col("case") == 4, *SIGNATURE).orderBy("ts", "seq")
@@ -49,12 +58,18 @@ def assign(facts: DataFrame, spans: DataFrame) -> DataFrame:
         F.coalesce(kind, F.lit("mainline")).alias("branch_type"),
         F.when(opens, F.coalesce("hint.hint_branch_id", F.concat(F.lit("br_"), kind, F.lit("_"), number.cast("string")))).otherwise("br_main").alias("branch_id"),
     )
-    wanted = F.when(F.col("case").isin(2, 3), F.col("hinted_parent")).otherwise(F.col("retried"))
+    # parents: of a fact, or of the last earlier request with an identifier
+    wanted = F.when(F.col("case").isin(2, 3), F.col("hinted_parent")).when(F.col("case") == 1, F.col("hint.hint_parent_fact_id")).otherwise(F.col("retried"))
+    named = named.withColumns({"wanted": wanted, "wanted_request": F.when((F.col("case") == 1) & wanted.isNull(), F.col("hint.hint_parent_request_id"))})
     parents = named.select("run_id", F.col("request_fact_id").alias("wanted"), F.col("branch_id").alias("found"), F.struct("ts", "seq").alias("found_at"))
-    placed = named.withColumn("wanted", wanted).join(parents, ["run_id", "wanted"], "left")
+    placed = named.join(parents, ["run_id", "wanted"], "left")
+    others = named.select("run_id", F.col("request_id").alias("wanted_request"), F.struct("ts", "seq").alias("other_at"), F.col("branch_id").alias("other"))
+    asked = placed.where("wanted_request is not null").select("run_id", "request_fact_id", "wanted_request", F.struct("ts", "seq").alias("own_at"))
+    last = asked.join(others, ["run_id", "wanted_request"]).where("other_at < own_at").groupBy("run_id", "request_fact_id").agg(F.max_by("other", "other_at").alias("by_request"))
+    placed = placed.join(last, ["run_id", "request_fact_id"], "left")
     earlier = F.when(F.col("found_at") < F.struct("ts", "seq"), F.col("found"))
-    parent = F.when(F.col("branch_type") == "mainline", None).otherwise(F.coalesce("hint.hint_parent_branch_id", earlier, F.lit("br_main")))
-    return placed.withColumn("parent_branch_id", parent).drop("wanted", "found", "found_at")
+    parent = F.when(F.col("branch_type") == "mainline", None).otherwise(F.coalesce("hint.hint_parent_branch_id", earlier, "by_request", F.lit("br_main")))
+    return placed.withColumn("parent_branch_id", parent).drop("wanted", "found", "found_at", "wanted_request", "by_request")
 
 
 def infer_branches(facts: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -62,10 +77,10 @@ def infer_branches(facts: DataFrame, assigned: DataFrame) -> DataFrame:
     _, closing = _hints(facts)
     by_fact = _first(closing, "target_fact_id", "request_fact_id").withColumnRenamed("hint", "close_fact")
     by_branch = _first(closing, "hint_branch_id", "branch_id").withColumnRenamed("hint", "close_branch")
-    opened = assigned.where("branch_type <> 'mainline'").join(by_fact, ["run_id", "request_fact_id"], "left").join(by_branch, ["run_id", "branch_id"], "left")
+    by_request = _first(closing, "target_request_id", "request_id").withColumnRenamed("hint", "close_request")
+    opened = assigned.where("branch_type <> 'mainline'").join(by_fact, ["run_id", "request_fact_id"], "left").join(by_branch, ["run_id", "branch_id"], "left").join(by_request, ["run_id", "request_id"], "left")
     ended = F.when(F.col("outcome") == "succeeded", "succeeded").otherwise("failed")
-    first_close = F.least(F.col("close_fact.seq"), F.col("close_branch.seq"))
-    close_status = F.when(F.col("close_fact.seq") == first_close, F.col("close_fact.hint_status")).otherwise(F.col("close_branch.hint_status"))
+    close_status = _earliest("close_branch", "close_fact", "close_request")["hint_status"]
     status = F.when(F.col("case") == 1, F.coalesce(close_status, F.col("hint.hint_status"), ended)).otherwise(ended)
     reason = (
         F.when(F.col("case") == 1, F.concat(F.lit("semantic:"), F.col("hint.semantic_kind")))

@@ -28,13 +28,15 @@ def scorecard(spans: DataFrame, scores: DataFrame, fields: DataFrame, branches:
         F.count("*").alias("runs"), round_to(cents("score")).alias("mean_score"), round_to(F.coalesce(cents("verifier_score"), cents("score"))).alias("mean_verifier"),
         round_to(F.count_if("fell_back") / F.count("*")).alias("fallback_rate"),
     )
-    latency = spans.where("latency_ms is not null").join(fields.select("run_id", "task_family"), "run_id").where("task_family is not null").groupBy("task_family").agg(nearest_rank(F.col("latency_ms"), 95).alias("p95_latency_ms"))
+    latency = nearest_rank(spans.where("latency_ms is not null").join(fields.select("run_id", "task_family"), "run_id").where("task_family is not null"), "task_family", "latency_ms", 95, "p95_latency_ms")
     return by_family.join(latency, "task_family", "left")
 
 
 def latency_percentiles(spans: DataFrame) -> DataFrame:
     """Both definitions of the 95th percentile, by actor."""
-    return spans.where("latency_ms is not null").groupBy("actor").agg(nearest_rank(F.col("latency_ms"), 95).alias("nearest_rank"), round_to(F.percentile("latency_ms", F.lit(0.95)), 3).alias("linear"))
+    timed = spans.where("latency_ms is not null")
+    linear = timed.groupBy("actor").agg(round_to(F.percentile("latency_ms", F.lit(0.95)), 3).alias("linear"))
+    return nearest_rank(timed, "actor", "latency_ms", 95, "nearest_rank").join(linear, "actor")
 
 
 def verdict(metrics: DataFrame, thresholds: list[tuple[str, str, float]]) -> Column:

@@ -1,0 +1,123 @@
+"""Messages, event streams and JSON answers as columns."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+MESSAGE = "array<struct<role:string,content:string,tool_calls:array<struct<id:string,type:string,name:string,arguments:string>>,tool_call_id:string,name:string>>"
+
+
+def text_of(value) -> str | None:
+    """Text of irregular content: parts of lists on lines of their own; objects by their text-like field, else as JSON."""
+    if isinstance(value, str):
+        return value
+    if isinstance(value, bool) or value is None:
+        return None
+    if isinstance(value, (int, float)):
+        return str(value)
+    if isinstance(value, dict):
+        inner = (text_of(value.get(k)) for k in ("text", "content", "value", "output"))
+        found = next((t for t in inner if t is not None), None)
+    else:
+        parts = [x if isinstance(x, str) else text_of(next((x[k] for k in ("text", "content", "value", "output") if x.get(k)), None)) for x in value if isinstance(x, (str, dict))]
+        found = "\n".join(p for p in parts if p) or None
+    return found if found is not None or not value else json.dumps(value, sort_keys=True)
+
+
+def _string(value) -> str | None:
+    return value if isinstance(value, str) and value else None
+
+
+def _call(item: dict, function: dict) -> dict | None:
+    name, arguments, ident = _string(function.get("name")), text_of(function.get("arguments")), _string(item.get("id")) or _string(item.get("call_id"))
+    return None if name is None and arguments is None and ident is None else {"id": ident, "type": _string(item.get("type")) if "function" in item else "function", "name": name or "", "arguments": arguments or ""}
+
+
+def message_of(item) -> dict | None:
+    """One message of a chat or responses request; null for what is none."""
+    if not isinstance(item, dict):
+        return None
+    kind, role = _string(item.get("type")), _string(item.get("role"))
+    if role is None:
+        role = {"message": "user", "function_call": "assistant", "function_call_output": "tool", "tool_result": "tool"}.get(kind or "")
+    if role is None:
+        return None
+    calls = [_call(c, c["function"]) for c in item.get("tool_calls") or [] if isinstance(c, dict) and isinstance(c.get("function"), dict)]
+    if role == "assistant" and not calls:
+        calls = [_call(item, item)]
+    calls = [c for c in calls if c]
+    content = text_of(item.get("content") or item.get("output"))
+    if content is None and not calls and kind not in ("function_call_output", "tool_result"):
+        return None
+    tool = role == "tool"
+    return {"role": role, "content": content or ("" if tool else None), "tool_calls": calls or None, "tool_call_id": _string(item.get("tool_call_id") or item.get("call_id")) if tool else None, "name": _string(item.get("name")) if tool else None}
+
+
+def messages_of(body: str | None) -> list[dict] | None:
+    try:
+        request = json.loads(body) if body else None
+    except ValueError:
+        return None
+    if not isinstance(request, dict):
+        return None
+    items = request["messages"] if isinstance(request.get("messages"), list) else request.get("input")
+    if isinstance(items, str):
+        items = [{"role": "user", "content": items}]
+    found = [m for m in map(message_of, items if isinstance(items, list) else [items]) if m]
+    return found or None
+
+
+def _batches(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for body in bodies:
+        yield body.map(messages_of)
+
+
+def prompt_messages(body: Column) -> Column:
+    """Messages of request bodies (JSON text) in one form; a Python function, as the shapes vary by row."""
+    return F.pandas_udf(_batches, MESSAGE)(body)
+
+
+def assistant_text(body: Column) -> Column:
+    """Answer of a response body (JSON text): canonical form, then chat, then responses shapes."""
+    at = lambda path: F.nullif(F.get_json_object(body, path), F.lit(""))
+    return F.coalesce(at("$.canonical.assistant_message.content"), at("$.choices[0].message.content"), at("$.output_text"), at("$.output[0].content[0].text"))
+
+
+def sse_data(body: Column) -> Column:
+    """Payloads of the ``data:`` lines of an event stream; the end mark is left out."""
+    lines = F.filter(F.split(body, "\r?\n"), lambda x: F.startswith(x, F.lit("data:")))
+    return F.filter(F.transform(lines, lambda x: F.trim(F.substring(x, F.lit(6), F.length(x)))), lambda x: (x != "[DONE]") & (x != ""))
+
+
+def assembled(payloads: Column) -> Column:
+    """Text of a stream from the deltas of its payloads."""
+    delta = lambda x: F.coalesce(F.get_json_object(x, "$.choices[0].delta.content"), F.get_json_object(x, "$.delta"), F.lit(""))
+    return F.array_join(F.transform(payloads, delta), "")
+
+
+def json_object(answer: Column) -> Column:
+    """The outermost braces of an answer, fences and prose around it cut off; null if there are none."""
+    return F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def grade(result: Column) -> Column:
+    """(pass, score) of a grader's result in JSON: a truth value, a number (passed from 1 on) or an object."""
+    number, inner = result.try_cast("double"), F.get_json_object(result, "$.score").try_cast("double")
+    passed = F.get_json_object(result, "$.pass")
+    truth = F.when(result == "true", True).when(result == "false", False)
+    return F.struct(
+        F.coalesce(truth, passed == "true", number >= 1, inner >= 1, F.lit(False)).alias("passed"),
+        F.coalesce(F.when(truth, 1.0).when(~truth, 0.0), number, inner, F.when(passed == "true", 1.0).otherwise(0.0)).alias("score"),
+    )
+
+
+def fingerprint(body: Column, volatile: tuple[str, ...]) -> Column:
+    """Equality key of a request body (JSON text): its members without the volatile ones, sorted by name."""
+    members = F.from_json(body, "map<string,string>")
+    kept = F.map_filter(members, lambda k, v: ~k.isin(*volatile))
+    return F.when(F.size(kept) > 0, F.to_json(F.map_from_entries(F.array_sort(F.map_entries(kept)))))

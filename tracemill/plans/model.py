@@ -1,4 +1,8 @@
-"""The derived tables of a folder of plain tables, built once per folder and session from lazy plans."""
+"""The derived tables of a folder of plain tables.
+
+Facts, spans and branches, from which everything else is made, are computed once for each folder and session
+and read back from the shared folder, bucketed by run. The rest are plans.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +11,27 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.operators import artifacts, branches, builders, spans
+from tracemill.operators import artifacts, branches, builders, curation, governance, spans
+from tracemill.plans.store import stored
 from tracemill.sources import tables
 
 
 class Model:
-    """Facts and artifacts of a folder with what is derived from them. Nothing runs before an action."""
+    """Facts and artifacts of a folder with what is derived from them."""
+
+    _known: dict[tuple[str, str], Model] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, folder: str) -> Model:
+        """The model of a folder in this application; ``forget`` it when the tables change."""
+        key = (spark.sparkContext.applicationId, folder)
+        if key not in cls._known:
+            cls._known[key] = cls(spark, folder)
+        return cls._known[key]
+
+    @classmethod
+    def forget(cls, spark: SparkSession, folder: str) -> None:
+        cls._known.pop((spark.sparkContext.applicationId, folder), None)
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -22,7 +41,7 @@ class Model:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return tables.facts_from_events(self.table("events"))
+        return stored(tables.facts_from_events(self.table("events")), "run_id")
 
     @cached_property
     def artifacts(self) -> DataFrame:
@@ -30,15 +49,15 @@ class Model:
 
     @cached_property
     def spans(self) -> DataFrame:
-        return spans.request_spans(self.facts)
+        return stored(spans.request_spans(self.facts), "run_id")
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return branches.assign(self.facts, self.spans)
+        return stored(branches.assign(self.facts, self.spans), "run_id")
 
     @cached_property
     def branches(self) -> DataFrame:
-        return branches.infer_branches(self.facts, self.assigned)
+        return stored(branches.infer_branches(self.facts, self.assigned), "run_id")
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -60,3 +79,13 @@ class Model:
     def feedback(self) -> DataFrame:
         """Queued feedback: superseded annotations ask for another look at their run."""
         return self.artifacts.where("artifact_type = 'annotation' and run_id is not null and status = 'superseded'").select("run_id", F.lit("superseded_annotation").alias("reason"), F.lit("queued").alias("status"), F.col("created_at").alias("ts"), "seq")
+
+    @cached_property
+    def slices(self) -> DataFrame:
+        return governance.slices(self.fields)
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """Members of one cohort for each task family: candidates within their instance's quota."""
+        free = curation.quotas(self.candidates).where("holdout_reason is null")
+        return governance.with_slices(free, self.slices).withColumn("cohort_id", F.concat(F.lit("cohort_"), "task_family"))

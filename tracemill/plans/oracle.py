@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-E1_FIELDS = ("task_family", "task_type", "task_template_hash", "task_instance_key", "verifier_name", "verifier_score", "quality_confidence", "taxonomy_version", "annotation_version", "source_channel")
+from tracemill.operators.artifacts import E1_FIELDS
 
 
 def rounded(x: str, places: int = 4) -> str:
@@ -47,13 +47,16 @@ TABLES = {
         CASE WHEN kind = 'request_started' AND k % 23 = 0 THEN 'fallback' END AS hinted_type,
         CASE WHEN kind = 'request_started' AND (k % 23 = 0 OR k % 29 = 0) THEN before END AS hinted_parent,
         CASE WHEN kind = 'semantic_event' THEN (['retry_declared', 'branch_open_declared', 'branch_close_declared', 'fallback_declared'])[k % 4 + 1] END AS semantic_kind,
-        CASE WHEN kind = 'semantic_event' THEN before END AS target_fact_id,
+        CASE WHEN kind = 'semantic_event' AND k % 9 <> 0 THEN before END AS target_fact_id,
+        CASE WHEN kind = 'semantic_event' AND k % 9 = 0 THEN 'req_' || replace(before, 'fact_', '') END AS target_request_id,
         CASE WHEN kind = 'semantic_event' AND k % 8 = 1 THEN 'br_named_' || (k % 3) END AS hint_branch_id,
         CASE WHEN kind = 'semantic_event' AND k % 4 = 1 THEN 'subagent' END AS hint_branch_type,
         CASE WHEN kind = 'semantic_event' AND k % 4 = 2 THEN CASE WHEN k % 3 = 0 THEN 'failed' ELSE 'succeeded' END END AS hint_status,
         CASE WHEN kind = 'semantic_event' AND k % 16 = 0 THEN 'br_main' END AS hint_parent_branch_id,
+        CASE WHEN kind = 'semantic_event' AND k % 5 = 1 THEN before_that END AS hint_parent_fact_id,
+        CASE WHEN kind = 'semantic_event' AND k % 5 = 2 THEN 'req_' || replace(before_that, 'fact_', '') END AS hint_parent_request_id,
         CASE WHEN k % 10 = 0 THEN 'imported' ELSE 'captured' END AS capture_source
-        FROM (SELECT *, CASE WHEN kind IN ('response_finished', 'error_raised') THEN measure END AS latency,
+        FROM (SELECT *, lag(before, 3) OVER (PARTITION BY run_id ORDER BY ts, seq) AS before_that FROM (SELECT *, CASE WHEN kind IN ('response_finished', 'error_raised') THEN measure END AS latency,
             last_value(CASE WHEN kind = 'request_started' THEN fact_id END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
             FROM (SELECT event_id AS seq, 'fact_' || event_id AS fact_id, 'sess_' || user_id AS session_id,
                 'run_' || user_id || '_' || CAST(floor((dayofyear(ts) - 1) / 7) AS BIGINT) AS run_id, ts, k,
@@ -61,7 +64,7 @@ TABLES = {
                     WHEN event_type = 'purchase' THEN 'response_finished' WHEN event_type = 'error' THEN 'error_raised' ELSE 'semantic_event' END AS kind,
                 CASE WHEN event_type IN ('click', 'purchase') THEN 'model' WHEN event_type = 'view' THEN 'tool' WHEN event_type = 'error' THEN 'proxy' ELSE 'runtime' END AS actor,
                 'user_' || user_id AS user_id, CAST(NULL AS VARCHAR) AS thread_id, 'task_' || (user_id % 10) AS task_id, CAST(floor(value * 10 + 0.5) AS BIGINT) AS measure
-                FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)))""",
+                FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))))""",
     "artifacts": """SELECT seq, 'art_' || seq AS artifact_id,
         CASE WHEN note THEN 'annotation' WHEN turn IN (2, 3) THEN 'score' WHEN turn = 4 THEN 'preference' WHEN turn = 5 THEN 'binary_label' ELSE 'note' END AS artifact_type,
         CASE WHEN turn = 1 THEN 'session:' || session_id WHEN turn = 2 THEN 'fact:' || coalesce(parent_ref, fact_id) WHEN turn = 5 THEN 'branch:br_main' ELSE 'run:' || run_id END AS target_ref,
@@ -89,25 +92,27 @@ TABLES = {
         LEFT JOIN (SELECT DISTINCT ON (run_id, parent_ref) * FROM facts WHERE kind = 'response_finished' AND parent_ref IS NOT NULL ORDER BY run_id, parent_ref, ts DESC, seq DESC) r ON r.run_id = q.run_id AND r.parent_ref = q.fact_id
         LEFT JOIN (SELECT DISTINCT ON (run_id, parent_ref) * FROM facts WHERE kind = 'error_raised' AND parent_ref IS NOT NULL ORDER BY run_id, parent_ref, ts DESC, seq DESC) e ON e.run_id = q.run_id AND e.parent_ref = q.fact_id
         LEFT JOIN (SELECT run_id, parent_ref, count(*) AS chunks FROM facts WHERE kind = 'response_chunk' GROUP BY ALL) c ON c.run_id = q.run_id AND c.parent_ref = q.fact_id""",
-    "hints": """SELECT run_id, ts, seq, semantic_kind, target_fact_id, hint_branch_id, hint_status, hint_parent_branch_id,
+    "hints": """SELECT run_id, ts, seq, semantic_kind, target_fact_id, target_request_id, hint_branch_id, hint_status, hint_parent_branch_id, hint_parent_fact_id, hint_parent_request_id,
         coalesce(hint_branch_type, CASE semantic_kind WHEN 'retry_declared' THEN 'retry' WHEN 'fallback_declared' THEN 'fallback' WHEN 'subagent_declared' THEN 'subagent' END) AS hint_type FROM facts WHERE kind = 'semantic_event'""",
-    "cases": """SELECT s.*, h.semantic_kind AS h_kind, h.hint_type, h.hint_branch_id, h.hint_status, h.hint_parent_branch_id,
+    "cases": """SELECT s.*, h.semantic_kind AS h_kind, h.hint_type, h.hint_branch_id, h.hint_status, h.hint_parent_branch_id, h.hint_parent_fact_id, h.hint_parent_request_id,
         CASE WHEN h.seq IS NOT NULL THEN 1 WHEN s.hinted_type IS NOT NULL THEN 2 WHEN s.hinted_parent IS NOT NULL THEN 3 ELSE 4 END AS which
-        FROM spans s LEFT JOIN (SELECT DISTINCT ON (run_id, target_fact_id) * FROM hints WHERE semantic_kind <> 'branch_close_declared' AND target_fact_id IS NOT NULL AND hint_type IS NOT NULL ORDER BY run_id, target_fact_id, ts, seq) h ON h.run_id = s.run_id AND h.target_fact_id = s.request_fact_id""",
+        FROM spans s LEFT JOIN (SELECT DISTINCT ON (q.request_fact_id) q.request_fact_id, h.* FROM spans q JOIN hints h ON h.run_id = q.run_id AND (h.target_fact_id = q.request_fact_id OR h.target_request_id = q.request_id)
+            WHERE semantic_kind <> 'branch_close_declared' AND hint_type IS NOT NULL ORDER BY q.request_fact_id, h.ts, h.seq) h ON h.request_fact_id = s.request_fact_id""",
     "named": """SELECT *, coalesce(opened, 'mainline') AS branch_type, CASE WHEN opened IS NULL THEN 'br_main' ELSE coalesce(hint_branch_id, 'br_' || opened || '_' || number) END AS branch_id
         FROM (SELECT *, CASE which WHEN 1 THEN hint_type WHEN 2 THEN hinted_type WHEN 3 THEN 'subagent' ELSE CASE WHEN retried IS NOT NULL THEN 'retry' END END AS opened,
             sum(CAST(which < 4 OR retried IS NOT NULL AS INT)) OVER (PARTITION BY run_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS number
             FROM (SELECT *, CASE WHEN which = 4 AND lag(outcome) OVER alike = 'failed' THEN lag(request_fact_id) OVER alike END AS retried FROM cases
                 WINDOW alike AS (PARTITION BY run_id, which = 4, actor, path, user_id, thread_id, task_id, fingerprint ORDER BY ts, seq)))""",
-    "assigned": """SELECT n.*, CASE WHEN n.branch_type <> 'mainline' THEN coalesce(n.hint_parent_branch_id, CASE WHEN p.ts < n.ts OR (p.ts = n.ts AND p.seq < n.seq) THEN p.branch_id END, 'br_main') END AS parent_branch_id
-        FROM named n LEFT JOIN named p ON p.run_id = n.run_id AND p.request_fact_id = CASE WHEN n.which IN (2, 3) THEN n.hinted_parent ELSE n.retried END""",
+    "assigned": """SELECT n.*, CASE WHEN n.branch_type <> 'mainline' THEN coalesce(n.hint_parent_branch_id, CASE WHEN p.ts < n.ts OR (p.ts = n.ts AND p.seq < n.seq) THEN p.branch_id END,
+            CASE WHEN n.which = 1 AND n.hint_parent_fact_id IS NULL THEN (SELECT last(o.branch_id ORDER BY o.ts, o.seq) FROM named o WHERE o.run_id = n.run_id AND o.request_id = n.hint_parent_request_id AND (o.ts < n.ts OR (o.ts = n.ts AND o.seq < n.seq))) END, 'br_main') END AS parent_branch_id
+        FROM named n LEFT JOIN named p ON p.run_id = n.run_id AND p.request_fact_id = CASE WHEN n.which IN (2, 3) THEN n.hinted_parent WHEN n.which = 1 THEN n.hint_parent_fact_id ELSE n.retried END""",
     "branches": """SELECT a.run_id, a.session_id, a.branch_id, a.branch_type, a.parent_branch_id,
-        CASE WHEN a.which = 1 THEN coalesce(CASE WHEN f.seq = least(f.seq, b.seq) THEN f.hint_status ELSE b.hint_status END, a.hint_status, a.ended) ELSE a.ended END AS status,
+        CASE WHEN a.which = 1 THEN coalesce(f.hint_status, a.hint_status, a.ended) ELSE a.ended END AS status,
         CASE WHEN a.which = 1 THEN 'declared' ELSE 'inferred' END AS source,
         CASE a.which WHEN 1 THEN 'semantic:' || a.h_kind WHEN 2 THEN 'hinted_branch_type' WHEN 3 THEN 'parent_request:' || a.hinted_parent ELSE 'retry_after:' || a.retried END AS open_reason, a.seq AS opened_seq
         FROM (SELECT *, CASE WHEN outcome = 'succeeded' THEN 'succeeded' ELSE 'failed' END AS ended FROM assigned WHERE branch_type <> 'mainline') a
-        LEFT JOIN (SELECT DISTINCT ON (run_id, target_fact_id) * FROM hints WHERE semantic_kind = 'branch_close_declared' AND target_fact_id IS NOT NULL ORDER BY run_id, target_fact_id, ts, seq) f ON f.run_id = a.run_id AND f.target_fact_id = a.request_fact_id
-        LEFT JOIN (SELECT DISTINCT ON (run_id, hint_branch_id) * FROM hints WHERE semantic_kind = 'branch_close_declared' AND hint_branch_id IS NOT NULL ORDER BY run_id, hint_branch_id, ts, seq) b ON b.run_id = a.run_id AND b.hint_branch_id = a.branch_id
+        LEFT JOIN (SELECT DISTINCT ON (o.request_fact_id) o.request_fact_id, c.* FROM assigned o JOIN hints c ON c.run_id = o.run_id AND (c.target_fact_id = o.request_fact_id OR c.hint_branch_id = o.branch_id OR c.target_request_id = o.request_id)
+            WHERE c.semantic_kind = 'branch_close_declared' ORDER BY o.request_fact_id, c.ts, c.seq) f ON f.request_fact_id = a.request_fact_id
         UNION ALL SELECT run_id, min(session_id), 'br_main', 'mainline', NULL, CASE WHEN bool_and(outcome = 'succeeded') THEN 'succeeded' WHEN bool_or(outcome = 'failed') THEN 'failed' ELSE 'open' END, 'inferred', 'run_start', min(seq) FROM assigned GROUP BY run_id""",
     "pairs": """SELECT DISTINCT * FROM (
         SELECT c.run_id, CASE WHEN c.status = 'succeeded' THEN c.branch_id ELSE p.branch_id END AS chosen, CASE WHEN c.status = 'succeeded' THEN p.branch_id ELSE c.branch_id END AS rejected, 'parent_child_outcome' AS source
@@ -139,6 +144,9 @@ TABLES = {
     "scores": """SELECT run_id, last(reward ORDER BY created_at, seq) FILTER (WHERE reward IS NOT NULL) AS score
         FROM (SELECT *, coalesce(score, CASE WHEN label THEN 1.0 WHEN NOT label THEN 0.0 END) AS reward FROM artifacts WHERE artifact_type = 'score' AND status = 'active' AND run_id IS NOT NULL) GROUP BY run_id""",
 }
+TABLES["slices"] = """SELECT 'slice.' || task_family || '.' || task_type || '.' || substr(sha1(task_family || '|' || task_type || '|' || coalesce(taxonomy_version, '')), 1, 8) AS slice_id, task_family, task_type, runs
+        FROM (SELECT task_family, task_type, min(taxonomy_version) AS taxonomy_version, count(*) AS runs FROM fields WHERE task_family IS NOT NULL AND task_type IS NOT NULL GROUP BY ALL)"""
+TABLES["members"] = """SELECT q.*, s.slice_id, 'cohort_' || q.task_family AS cohort_id FROM quota q JOIN slices s USING (task_family, task_type) WHERE held IS NULL"""
 
 
 def nearest(x: str, percent: int) -> str:

@@ -19,7 +19,7 @@ ORACLE_SQL: dict = {}
 
 def query(name: str, build: Callable[[Model], DataFrame], body: str | None) -> None:
     """Register ``build``, of the model of a folder, with its SQL."""
-    QUERIES[name] = lambda spark, folder: build(Model(spark, folder))
+    QUERIES[name] = lambda spark, folder: build(Model.of(spark, folder))
     if body:
         ORACLE_SQL[name] = sql(body)
 
@@ -49,8 +49,8 @@ query(
 )
 query(
     "orphan_payloads",
-    lambda m: scans.orphan_payloads(m.table("pages").select(F.concat(F.lit("p/"), "page_id").alias("relative_path"), F.timestamp_seconds("page_id").alias("modified")), m.table("documents").select(F.concat(F.lit("p/"), F.col("doc_id") * 3).alias("relative_path")), F.timestamp_seconds(F.lit(400))).select("relative_path"),
-    "SELECT 'p/' || page_id AS relative_path FROM pages WHERE page_id < 100 AND page_id NOT IN (SELECT doc_id * 3 FROM documents)",
+    lambda m: scans.orphan_payloads(m.table("pages").select(F.concat(F.lit("p/"), "page_id").alias("relative_path"), F.timestamp_seconds(F.col("page_id") % 500).alias("modified")), m.table("documents").select(F.concat(F.lit("p/"), F.col("doc_id") * 3).alias("relative_path")), F.timestamp_seconds(F.lit(500))).select("relative_path"),
+    "SELECT 'p/' || page_id AS relative_path FROM pages WHERE page_id % 500 < 200 AND page_id NOT IN (SELECT doc_id * 3 FROM documents)",
 )
 
 
@@ -86,7 +86,7 @@ query(
     LEFT JOIN (SELECT session_id, count(*) AS artifacts, count(*) FILTER (WHERE status = 'active') AS active_artifacts FROM artifacts GROUP BY session_id) a USING (session_id)""",
 )
 query("replay", lambda m: spans.replay(m.spans).withColumn("number", F.col("number").cast("long")), "SELECT session_id, request_id, actor, outcome, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS number FROM spans")
-query("chunk_facts", lambda m: spans.chunk_facts(m.facts, cap=1), "SELECT run_id, parent_ref, least(count(*), 1) AS stored, greatest(count(*) - 1, 0) AS omitted FROM facts WHERE kind = 'response_chunk' AND parent_ref IS NOT NULL GROUP BY run_id, parent_ref")
+query("chunk_facts", lambda m: spans.chunk_facts(m.facts, cap=2), "SELECT run_id, parent_ref, least(count(*), 2) AS stored, greatest(count(*) - 2, 0) AS omitted FROM facts WHERE kind = 'response_chunk' AND parent_ref IS NOT NULL GROUP BY run_id, parent_ref")
 query("branches", lambda m: m.branches, "SELECT * FROM branches")
 query("branch_assignment", lambda m: m.assigned.select("run_id", "request_fact_id", "branch_id", "branch_type", "parent_branch_id"), "SELECT run_id, request_fact_id, branch_id, branch_type, parent_branch_id FROM assigned")
 query("branch_inspect_summaries", lambda m: branches.branch_summaries(m.assigned), "SELECT run_id, branch_id, count(*) AS requests, count(*) FILTER (WHERE outcome = 'succeeded') AS succeeded, count(*) FILTER (WHERE outcome = 'failed') AS failed, count(*) FILTER (WHERE outcome = 'open') AS open, string_agg(request_id, ',' ORDER BY seq) AS request_ids FROM assigned GROUP BY run_id, branch_id")
@@ -237,13 +237,6 @@ query(
     SELECT request_id, count(*) AS candidates, sum(coalesce(e.n, 0)) AS evaluations, sum(coalesce(h.n, 0)) AS handoffs FROM (SELECT l_orderkey AS request_id, l_orderkey * 10 + l_linenumber AS candidate_id FROM lineitem) c LEFT JOIN (SELECT l_orderkey * 10 + l_linenumber AS candidate_id, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) e USING (candidate_id)
     LEFT JOIN (SELECT l_orderkey * 10 + l_linenumber AS candidate_id, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' AND l_quantity < 10 GROUP BY 1) h USING (candidate_id) GROUP BY request_id) ON request_id = o_orderkey)""",
 )
-query(
-    "prepare_runs",
-    lambda m: dashboard.prepare(m.spans, m.branches, m.facts.where("k % 31 = 0").groupBy("run_id").agg(F.count("*").alias("secrets"))),
-    """SELECT run_id, CASE WHEN blockers <> '' THEN 'blocked' WHEN reviews <> '' THEN 'review' ELSE 'clean' END AS status, blockers, reviews, CASE WHEN blockers <> '' THEN 0.4e0 WHEN reviews <> '' THEN 0.7e0 ELSE 1e0 END AS confidence FROM (SELECT run_id, concat_ws(',', CASE WHEN open > 0 THEN 'open_spans' END, CASE WHEN prompts = 0 THEN 'no_prompts' END) AS blockers,
-    concat_ws(',', CASE WHEN coalesce(secrets, 0) > 0 THEN 'secret_like_text' END, CASE WHEN coalesce(n, 0) > 0 AND coalesce(declared, 0) = 0 THEN 'inferred_only_branching' END, CASE WHEN outputs = 0 THEN 'no_assistant_output' END) AS reviews
-    FROM (SELECT run_id, count(*) FILTER (WHERE outcome = 'open') AS open, count(fingerprint) AS prompts, count(response_fact_id) AS outputs FROM spans GROUP BY run_id) LEFT JOIN (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE source = 'declared') AS declared FROM branches WHERE branch_type <> 'mainline' GROUP BY run_id) USING (run_id) LEFT JOIN (SELECT run_id, count(*) AS secrets FROM facts WHERE k % 31 = 0 GROUP BY run_id) USING (run_id))""",
-)
 query(
     "run_anomalies",
     lambda m: dashboard.anomalies(m.spans),
@@ -251,8 +244,26 @@ query(
 )
 
 # scalar functions
-_SECRETS = {label: pattern.replace("'", "''") for label, pattern in scalars.SECRET_PATTERNS}
-query("secret_counts", lambda m: m.table("documents").select("doc_id", scalars.secret_counts(F.col("text")).alias("c")).select("doc_id", *(F.col(f"c.{n}").cast("long").alias(n) for n in _SECRETS)), "SELECT doc_id, " + ", ".join(f"coalesce(len(regexp_extract_all(text, '{p}')), 0) AS {n}" for n, p in _SECRETS.items()) + " FROM documents")
-query("grade_answers", lambda m: m.table("benchmark").select("item_id", scalars.exact_match(F.col("text"), F.trim("text")).alias("exact"), scalars.contains_reference(F.col("text"), F.substring("text", 5, 20)).alias("contained")), r"SELECT item_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) = trim(regexp_replace(trim(text), '[ \t\r\n]+', ' ', 'g')) AS exact, contains(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), trim(regexp_replace(substr(text, 5, 20), '[ \t\r\n]+', ' ', 'g'))) AS contained FROM benchmark")
+def _bounded(pattern: str) -> str:
+    """For SQL: \\b as explicit classes. Signs that are no word characters come twice, so that neighbours share none."""
+    core = pattern.replace(r"\b", "").replace("sk-", "sk--").replace(r"\s+", r"(?:\s\s)+").replace(r"[A-Za-z0-9._\-]{24,}", r"(?:[A-Za-z0-9_]|\.\.|--){23,}[A-Za-z0-9_]")
+    return rf"(?:^|[^\pL\pN_]){core}(?:$|[^\pL\pN_])"
+
+
+_SECRETS = {label: _bounded(pattern) for label, pattern in scalars.SECRET_PATTERNS if label != "private_key"}
+_TWICE = r"regexp_replace(text, '([^\pL\pN_])', '\1\1', 'g')"
+query(
+    "secret_counts",
+    lambda m: m.table("documents").select("doc_id", scalars.secret_counts(F.col("text")).alias("c")).select("doc_id", *(F.col(f"c.{n}").cast("long").alias(n) for n, _ in scalars.SECRET_PATTERNS)),
+    f"SELECT doc_id, coalesce(len(regexp_extract_all(text, '{dict(scalars.SECRET_PATTERNS)['private_key']}')), 0) AS private_key, " + ", ".join(f"coalesce(len(regexp_extract_all({_TWICE}, '{p}')), 0) AS {n}" for n, p in _SECRETS.items()) + " FROM documents",
+)
+_FLAT = r"trim(regexp_replace({}, '[ \t\r\n]+', ' ', 'g'))"
+query(
+    "grade_answers",
+    lambda m: m.table("benchmark").alias("a").join(m.table("benchmark").select((F.col("item_id") - 1).alias("item_id"), F.substring("text", 1, 3).alias("reference")), "item_id").select("item_id", scalars.exact_match(F.col("text"), F.col("reference")).alias("exact"), scalars.contains_reference(F.col("text"), F.col("reference")).alias("contained")),
+    f"SELECT a.item_id, {_FLAT.format('a.text')} = {_FLAT.format('substr(b.text, 1, 3)')} AS exact, contains({_FLAT.format('a.text')}, {_FLAT.format('substr(b.text, 1, 3)')}) AS contained FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1",
+)
 query("slugs", lambda m: m.table("part").select("p_partkey", scalars.slug(F.col("p_name")).alias("slug")), "SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower(coalesce(p_name, '')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS slug FROM part")
 query("shortened_text", lambda m: m.table("documents").where("text is not null").select("doc_id", scalars.shorten(F.col("text"), 72).alias("short")), r"SELECT doc_id, CASE WHEN length(flat) > 72 THEN rtrim(substr(flat, 1, 69), ' ') || '...' ELSE flat END AS short FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'), ' ') AS flat FROM documents WHERE text IS NOT NULL)")
+
+from tracemill.plans import governed  # noqa: E402, F401  (registers more queries)

@@ -51,7 +51,7 @@ def facts_from_events(events: DataFrame) -> DataFrame:
     is_kind = lambda *names: F.col("kind").isin(*names)
     when = lambda condition, value: F.when(condition, value)
     request, semantic, answered = is_kind("request_started"), is_kind("semantic_event"), is_kind("response_finished")
-    linked = base.withColumn("before", before)
+    linked = base.withColumn("before", before).withColumn("before_that", F.lag("before", 3).over(run))
     latency = when(is_kind("response_finished", "error_raised"), F.col("measure"))
     return linked.select(
         "seq", "fact_id", "session_id", "run_id", "user_id", "thread_id", "task_id", "ts", "k", "kind", "actor",
@@ -69,11 +69,14 @@ def facts_from_events(events: DataFrame) -> DataFrame:
         when(request & (F.col("k") % 23 == 0), F.lit("fallback")).alias("hinted_type"),
         when(request & ((F.col("k") % 23 == 0) | (F.col("k") % 29 == 0)), F.col("before")).alias("hinted_parent"),
         when(semantic, F.element_at(F.array(*map(F.lit, ("retry_declared", "branch_open_declared", "branch_close_declared", "fallback_declared"))), (F.col("k") % 4 + 1).cast("int"))).alias("semantic_kind"),
-        when(semantic, F.col("before")).alias("target_fact_id"),
+        when(semantic & (F.col("k") % 9 != 0), F.col("before")).alias("target_fact_id"),
+        when(semantic & (F.col("k") % 9 == 0), F.concat(F.lit("req_"), F.regexp_replace("before", "fact_", ""))).alias("target_request_id"),
         when(semantic & (F.col("k") % 8 == 1), F.concat(F.lit("br_named_"), F.col("k") % 3)).alias("hint_branch_id"),
         when(semantic & (F.col("k") % 4 == 1), F.lit("subagent")).alias("hint_branch_type"),
         when(semantic & (F.col("k") % 4 == 2), F.when(F.col("k") % 3 == 0, "failed").otherwise("succeeded")).alias("hint_status"),
         when(semantic & (F.col("k") % 16 == 0), F.lit("br_main")).alias("hint_parent_branch_id"),
+        when(semantic & (F.col("k") % 5 == 1), F.col("before_that")).alias("hint_parent_fact_id"),
+        when(semantic & (F.col("k") % 5 == 2), F.concat(F.lit("req_"), F.regexp_replace("before_that", "fact_", ""))).alias("hint_parent_request_id"),
         F.when(F.col("k") % 10 == 0, "imported").otherwise("captured").alias("capture_source"),
     )
 

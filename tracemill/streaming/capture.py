@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_facts(spark, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -15,44 +13,39 @@ def read_facts(spark, path: str, schema, files_per_trigger: int = 100) -> DataFr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def _timed(facts: DataFrame, lateness: str) -> DataFrame:
+    """With a watermark, which needs times with a zone."""
+    return facts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+
+
 def unique_facts(facts: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Facts without repeated identifiers within the watermark."""
-    return facts.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["fact_id"])
+    return _timed(facts, lateness).dropDuplicatesWithinWatermark(["fact_id"])
 
 
 def windowed_counts(facts: DataFrame, window: str = "1 day", lateness: str = "1 hour") -> DataFrame:
     """Facts by kind in tumbling windows, out once the watermark has passed the window."""
-    return facts.withWatermark("ts", lateness).groupBy(F.window("ts", window), "kind").agg(F.count("*").alias("facts")).select(F.col("window.start").alias("start"), "kind", "facts")
-
-
-LIFECYCLE = "run_id string, request_fact_id string, outcome string, chunks long"
-_STATE = "started boolean, response_status long, responded boolean, failed boolean, chunks long"
-
-
-def _lifecycle(key, batches, state: GroupState):
-    """Outcome of one request so far; a later end changes it, so rows are updates."""
-    started, status, responded, failed, chunks = state.get if state.exists else (False, None, False, False, 0)
-    for rows in batches:
-        for r in rows.sort_values(["ts", "seq"]).itertuples():
-            if r.kind == "request_started":
-                started = True
-            elif r.kind == "response_finished":
-                responded, status = True, int(r.status_code)
-            elif r.kind == "error_raised":
-                failed = True
-            elif r.kind == "response_chunk":
-                chunks += 1
-    state.update((started, status, responded, failed, chunks))
-    if started:
-        outcome = "failed" if failed or (responded and status >= 400) else "succeeded" if responded else "open"
-        yield pd.DataFrame([(key[0], key[1], outcome, chunks)], columns=["run_id", "request_fact_id", "outcome", "chunks"])
+    return _timed(facts, lateness).groupBy(F.window("ts", window), "kind").agg(F.count("*").alias("facts")).select(F.col("window.start").alias("start"), "kind", "facts")
 
 
 def lifecycle(facts: DataFrame) -> DataFrame:
-    """Updates of (run, request, outcome, chunks) as facts arrive in any order."""
-    keyed = facts.where("kind <> 'semantic_event'").withColumn("request_fact_id", F.when(F.col("kind") == "request_started", F.col("fact_id")).otherwise(F.col("parent_ref"))).where("request_fact_id is not null")
-    rows = keyed.select("run_id", "request_fact_id", "kind", "ts", "seq", "status_code")
-    return rows.groupBy("run_id", "request_fact_id").applyInPandasWithState(_lifecycle, LIFECYCLE, _STATE, "update", GroupStateTimeout.NoTimeout)
+    """Updates of (run, request, outcome, chunks) as facts arrive in any order.
+
+    Aggregates alone hold the state: a late fact only changes its own request. Requests whose start has not
+    come yet have no outcome.
+    """
+    request = F.when(F.col("kind") == "request_started", F.col("fact_id")).otherwise(F.col("parent_ref"))
+    rows = facts.where("kind <> 'semantic_event'").withColumn("request_fact_id", request).where("request_fact_id is not null")
+    answered = F.when(F.col("kind") == "response_finished", F.struct("ts", "seq", F.coalesce("status_code", F.lit(0)).alias("status")))
+    is_kind = lambda kind: F.bool_or(F.col("kind") == kind)
+    seen = rows.groupBy("run_id", "request_fact_id").agg(is_kind("request_started").alias("started"), is_kind("error_raised").alias("failed"), F.max(answered).alias("last"), F.count_if(F.col("kind") == "response_chunk").alias("chunks"))
+    outcome = F.when(F.col("failed"), "failed").when(F.col("last.status") >= 400, "failed").when(F.col("last").isNotNull(), "succeeded").otherwise("open")
+    return seen.select("run_id", "request_fact_id", F.when(F.col("started"), outcome).alias("outcome"), "chunks")
+
+
+def session_owners(claims: DataFrame) -> DataFrame:
+    """First claim of every session so far, as claims (session_id, owner_key, ts, seq) arrive."""
+    return claims.groupBy("session_id").agg(F.min(F.struct("ts", "seq", "owner_key")).alias("first")).select("session_id", F.col("first.owner_key").alias("owner_key"))
 
 
 def append_new(path: str) -> Callable[[DataFrame, int], None]:
