@@ -1,3 +1,4 @@
+import duckdb
 import random
 
 from tracemill.llm import decontamination as d
@@ -55,3 +56,14 @@ def test_query_and_removal(spark, tmp_path):
     assert one == sorted(map(str, d.match(table, benchmark, block_bytes=40).collect()))
     assert d.match(table, benchmark.where("false")).where("n_hit > 0").count() == 0
     assert d.match(table.where("false"), benchmark).count() == 0
+
+
+def test_query_against_sql(spark):
+    """The registered SQL on the smallest tables."""
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    result = con.execute(d.ORACLE_SQL)
+    got = d.op2_decontamination(spark, folder).select([c[0] for c in result.description])
+    assert sorted(map(tuple, got.collect())) == sorted(result.fetchall())

@@ -171,3 +171,15 @@ def test_classifier(spark, tmp_path):
     assert quality_classifier.fit(docs, labels.where("false")) == quality_classifier.NEUTRAL
     assert quality_classifier.score(docs.where("false"), model).count() == 0
     assert all(math.isclose(x, 0.7) for x in quality_classifier.NEUTRAL.score(["any", None]))
+
+
+def test_token_counts_of_very_long_words(monkeypatch):
+    rng = random.Random(12)
+    scores = {"▁": -1.0, "a": -2.0, "b": -2.5, "ab": -2.7, "aba": -3.0, "bbb": -4.0, "é": -5.0, "▁ab": -2.0}
+    text = "".join(rng.choice("aabbé😀") for _ in range(5000))
+    whole = token_counts.TrieCounter(scores, max_nodes=100_000)
+    monkeypatch.setattr(token_counts, "SHARED", 100_000)
+    want = whole.count([text, text[:1500]])
+    monkeypatch.setattr(token_counts, "SHARED", 7)
+    short = token_counts.TrieCounter(scores)
+    assert short.count([text, text[:1500]]) == want and short.nodes < 20

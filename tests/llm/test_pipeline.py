@@ -1,5 +1,7 @@
 """The pipeline's stages over the smallest tables: columns, rows that stay, and whole packing."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,3 +25,28 @@ def test_stages(spark, tmp_path):
     assert whole.where("n <> tokens").count() == 0
     assert whole.count() == docs.count()
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_stages_on_planted_rows(spark, tmp_path):
+    """Copies, benchmark passages and secrets in documents of known words; nulls, repeats and a clashing column."""
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    item = words(30)
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near = words(200)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1000))
+    rows = [(i, words(120)) for i in range(10)] + [(20, near), (21, near), (22, near + " tail"), (23, near[:-1]), (30, words(100) + " " + item), (31, words(2000) + " " + item + " " + words(10)), (40, f"{words(60)} token = \"{key}\" {words(60)}"), (50, None), (51, ""), (None, words(50))]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, node string")
+    stages = dict(corpus_pipeline.STAGES)
+    once = stages["n-gram Jaccard join"](spark, docs, str(tmp_path))
+    assert {r.doc_id for r in once.collect()} == {d for d, _ in rows} - {21, 22, 23} and once.columns == docs.columns
+    free = {r.doc_id: r.text for r in stages["benchmark decontamination"](spark, docs, str(tmp_path)).collect()}
+    assert {d for d, _ in rows} - free.keys() == {30}
+    whole = dict(rows)[31].split()
+    assert free.pop(31).split() == whole[:2000] + whole[2030:] and all(free[d] == dict(rows)[d] for d in free)
+    clean = {r.doc_id: r.text for r in stages["secret scans"](spark, docs, str(tmp_path)).collect()}
+    assert key[-20:] not in clean[40] and key[:20] not in clean[40] and all(clean[d] == t for d, t in rows if d not in (40,))
+    packed = stages["packing"](spark, docs, str(tmp_path))
+    assert packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).where("n <> t").count() == 0
+    none = docs.where("false")
+    assert all(stages[n](spark, none, str(tmp_path)).count() == 0 for n, _ in corpus_pipeline.STAGES[1:])

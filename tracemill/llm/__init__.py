@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable] = {
 }
 
 #: Equivalent SQL, where SQL expresses the query fast enough on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontamination.ORACLE_SQL}

@@ -248,5 +248,19 @@ def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     )
 
 
+_CUT = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+#: DuckDB SQL for the rows of ``op2_decontamination``.
+ORACLE_SQL = f"""WITH d AS (SELECT doc_id, {_CUT} AS words FROM documents),
+    b AS (SELECT item, words, CAST(least({WINDOW}, len(words)) AS BIGINT) AS w FROM (SELECT CAST(item_id AS VARCHAR) AS item, {_CUT} AS words FROM benchmark WHERE item_id IS NOT NULL) WHERE len(words) > 0),
+    bw AS (SELECT DISTINCT item, w, array_to_string(words[i : i + w - 1], ' ') AS part FROM (SELECT *, unnest(range(1, len(words) - w + 2)) AS i FROM b)),
+    dw AS (SELECT doc_id, i, w, array_to_string(words[i : i + w - 1], ' ') AS part FROM (SELECT doc_id, words, w, unnest(range(1, greatest(1, len(words) - w + 2))) AS i FROM d, (SELECT DISTINCT w FROM bw))),
+    hits AS (SELECT doc_id, i, w, item FROM dw JOIN bw USING (w, part)),
+    covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT doc_id, i, unnest(range(w)) AS k FROM (SELECT DISTINCT doc_id, i, w FROM hits)) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(words) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 def items_digest(items: Iterable[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

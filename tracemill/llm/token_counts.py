@@ -5,7 +5,9 @@ bytes at ``BYTE_SCORE`` each. A pre-token is a word with the mark of the space b
 pre-tokens are inserted in a trie; a node's forward score (best score of the text up to it, then fewest
 tokens) is computed once for all pre-tokens that share the prefix, and the node that ends a pre-token
 holds its count. A document's count is the sum over its words. Tries live in tasks; when one exceeds
-``max_nodes`` it is begun anew, which changes no count. Nothing is shuffled.
+``max_nodes`` it is begun anew, which changes no count. Of a very long word only the first ``SHARED``
+characters are in the trie; the scores of the rest need no more than the longest piece's length of them at
+a time. Nothing is shuffled.
 
 Null or empty texts have no tokens; repeated rows count alike; an empty table gives no rows; other
 columns are ignored.
@@ -23,6 +25,7 @@ from tracemill.llm.common import batch_of, text_slices
 
 MARK = "▁"
 BYTE_SCORE = -14.0
+SHARED = 1024
 _LOADED: dict[str, TrieCounter] = {}
 
 
@@ -46,6 +49,7 @@ class TrieCounter:
 
     def __init__(self, scores: dict[str, float], max_nodes: int = 250_000, max_words: int = 500_000):
         self.max_nodes, self.max_words = max_nodes, max_words
+        self.longest = max(map(len, scores), default=1)
         self.backward: dict = {}  # pieces from their last character to their first; None: score
         for piece, score in scores.items():
             node = self.backward
@@ -83,14 +87,40 @@ class TrieCounter:
         self.nodes += 1
         return child
 
+    def _rest(self, node: list, rest: str) -> int:
+        """Tokens of a word whose front ends at ``node``: forward scores of the last few characters only."""
+        recent: list[tuple[float, int, str | None]] = []  # score, tokens, character; the last one is the newest
+        while node is not None and len(recent) < self.longest:
+            recent.append((node[1], node[2], node[3]))
+            node = node[4]
+        recent.reverse()
+        for c in rest:
+            width = len(c.encode("utf-8", "surrogatepass"))
+            best, fewest = recent[-1][0] + BYTE_SCORE * width, recent[-1][1] + width
+            found, at, back = self.backward, c, len(recent) - 1
+            while (found := found.get(at)) is not None:
+                score = found.get(None)
+                if score is not None:
+                    total = recent[back][0] + score
+                    if total > best or total == best and recent[back][1] + 1 < fewest:
+                        best, fewest = total, recent[back][1] + 1
+                at, back = recent[back][2], back - 1
+                if back < 0 or at is None:
+                    break
+            recent.append((best, fewest, c))
+            if len(recent) > 4 * self.longest:
+                del recent[: -self.longest - 1]
+        return recent[-1][1]
+
     def insert(self, words: set[bytes]) -> None:
         for word in words:
             if self.nodes > 2 * self.max_nodes:
                 self.clear()
             node = self.root
-            for c in MARK + word.decode("utf-8", "surrogatepass"):
+            text = MARK + word.decode("utf-8", "surrogatepass")
+            for c in text[:SHARED]:
                 node = node[0].get(c) or self._child(node, c)
-            self.terminal[word] = node[2]
+            self.terminal[word] = node[2] if len(text) <= SHARED else self._rest(node, text[SHARED:])
 
     def count(self, texts: list[str | None]) -> list[int]:
         cut = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
