@@ -155,13 +155,14 @@ def _postings(frequent, buckets: int):
     return run
 
 
-_GROUPS = pa.schema([("home", pa.int64()), ("short", pa.int64()), ("size", pa.int32()), ("hot", pa.int64()), ("weight", pa.int32())])
+_GROUPS = pa.schema([("task", pa.int64()), ("hot", pa.int64()), ("least", pa.int64()), ("homes", pa.binary()), ("shorts", pa.binary()), ("sizes", pa.binary()), ("weights", pa.binary())])
 
 
-def _groups(frequent):
-    """Of one bucket: the distinct (home, member) of groups of two or more. Groups of hot shingles name these.
+def _groups(frequent, tasks: int):
+    """Of one bucket: the distinct (home, member) of groups of two or more, packed by the task that sums them up.
 
-    ``weight`` is the number of groups of two, or 2 if another group has the member.
+    A weight is the number of groups of two, or 2 if another group has the member. Groups of hot shingles
+    come by themselves, with their least node here; their task is that of the members until the home is known.
     """
 
     def reduce(table: pa.Table) -> pa.Table:
@@ -182,20 +183,40 @@ def _groups(frequent):
         far = NUMERATOR * size[1:].astype(np.int64) > DENOMINATOR * size[:-1].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], (mark[1:] != mark[:-1]) | (far & ~hot[1:])]))
         members = np.diff(np.concatenate([first, [len(mark)]]))
-        home = np.repeat(np.minimum.reduceat(node, first), members)
-        members = np.repeat(members, members)
+        home, members = np.repeat(np.minimum.reduceat(node, first), members), np.repeat(members, members)
         take = (members > 1) | hot
-        home, node, size = home[take], node[take], size[take]
         weight, mark = np.where(hot | (members > 2), 2, 1)[take], np.where(hot, mark.astype(np.int64), -1)[take]
-        order = np.lexsort((node, home, mark))
-        home, node, size, mark, weight = home[order], node[order], size[order], mark[order], weight[order]
+        home, node, size = home[take], node[take], size[take]
+        task = np.where(mark < 0, home % tasks, node % tasks)
+        order = np.lexsort((node, home, task, mark))
+        home, node, size, mark, weight, task = home[order], node[order], size[order], mark[order], weight[order], task[order]
         new = np.flatnonzero(np.concatenate([[True], (home[1:] != home[:-1]) | (node[1:] != node[:-1]) | (mark[1:] != mark[:-1])])[: len(home)])
-        weight = np.minimum(np.add.reduceat(weight, new), 2) if len(new) else weight
-        return pa.table([pa.array(home[new]), pa.array(node[new]), pa.array(size[new]), pa.array(mark[new], mask=mark[new] < 0), pa.array(weight.astype(np.int32))], schema=_GROUPS)
+        weight = np.minimum(np.add.reduceat(weight, new), 2).astype(np.uint8) if len(new) else weight
+        home, node, size, mark, task = home[new], node[new], size[new], mark[new], task[new]
+        cuts = np.flatnonzero(np.concatenate([[True], (mark[1:] != mark[:-1]) | (task[1:] != task[:-1])])[: len(home)]).tolist()
+        rows = []
+        for a, b in zip(cuts, [*cuts[1:], len(home)]):
+            one = (int(mark[a]), int(home[a])) if mark[a] >= 0 else (None, None)
+            rows.append((int(task[a]), *one, home[a:b].tobytes(), node[a:b].tobytes(), size[a:b].tobytes(), weight[a:b].tobytes()))
+        return pa.Table.from_batches([batch_of(_GROUPS, rows)])
 
     return reduce
 
 
+def _members_of(table: pa.Table) -> pa.Table:
+    """Distinct (home, short, size) of one task whose weights come to two or more."""
+    parts: list[tuple] = []
+    for row in table.to_pylist():
+        home = np.frombuffer(row["homes"], np.int64)
+        parts.append((np.full_like(home, row["least"]) if row["least"] is not None else home, np.frombuffer(row["shorts"], np.int64), np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["weights"], np.uint8)))
+    home, node, size, weight = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((size, node, home))
+    home, node, size, weight = home[order], node[order], size[order], weight[order]
+    new = np.flatnonzero(np.concatenate([[True], (home[1:] != home[:-1]) | (node[1:] != node[:-1]) | (size[1:] != size[:-1])]))
+    new = new[np.add.reduceat(weight.astype(np.int64), new) > 1]
+    return pa.table({"home": home[new], "short": node[new], "size": size[new]})
+
+
 def _homes(docs: DataFrame, plain: DataFrame, profile: DataFrame) -> DataFrame:
     """Distinct rows (home, short, size): nodes that may be similar share a home."""
     spark = docs.sparkSession
@@ -207,12 +228,13 @@ def _homes(docs: DataFrame, plain: DataFrame, profile: DataFrame) -> DataFrame:
     size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // BUCKET_BYTES) + 1)
     packed = plain.select("text").mapInArrow(_postings(frequent, buckets), "bucket int, nodes binary, sizes binary, shingles binary, owner binary")
-    groups = packed.groupBy("bucket").applyInArrow(_groups(frequent), "home long, short long, size int, hot long, weight int")
+    groups = packed.groupBy("bucket").applyInArrow(_groups(frequent, buckets), "task long, hot long, least long, homes binary, shorts binary, sizes binary, weights binary")
     if hot:
         groups = materialize(groups, "groups")
-        least = groups.where("hot is not null").groupBy("hot").agg(F.min("home").alias("least"))
-        groups = groups.join(F.broadcast(least), "hot", "left").withColumn("home", F.coalesce("least", "home"))  # a row for each hot shingle, FREQUENT at most
-    return groups.groupBy("home", "short", "size").agg(F.sum("weight").alias("weight")).where("weight > 1").drop("weight")
+        least = groups.where("hot is not null").groupBy("hot").agg(F.min("least").alias("all_least"))
+        groups = groups.join(F.broadcast(least), "hot", "left").withColumn("least", F.col("all_least"))  # a row for each hot shingle, FREQUENT at most
+        groups = groups.withColumn("task", F.when(F.col("least").isNull(), F.col("task")).otherwise(F.pmod(F.pmod("least", F.lit(buckets)) + F.col("task"), F.lit(buckets))))
+    return groups.select("task", "least", "homes", "shorts", "sizes", "weights").groupBy("task").applyInArrow(_members_of, "home long, short long, size int")
 
 
 class CountTree:
