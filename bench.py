@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from tracemill.plans.model import Model
 from tracemill.plans.registry import QUERIES
 
 HEADLINE = (
@@ -22,7 +23,10 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES[HEADLINE[0]](spark, folder).write.format("noop").mode("overwrite").save()  # compiles code
-    took = {}
+    Model.forget(spark, folder)
+    began = time.perf_counter()
+    Model.of(spark, folder).branches.count()  # writes facts, spans, assignments and branches, which the queries read
+    took = {"model_tables": round(time.perf_counter() - began, 3)}
     for name in HEADLINE:
         began = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
