@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +106,20 @@ def _classes(hot: int):
     return reduce
 
 
+def _lists(column: pa.ListArray, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bounds by row and the fields of a column of lists of structs, null lists as empty."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(column)
+    return np.concatenate([[0], np.cumsum(sizes)]), [flat.field(f).to_numpy(zero_copy_only=False) for f in fields]
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of keys, and where in it the run of each wanted one starts and ends; places of a run ascend."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    return order, np.searchsorted(ranked, wanted, side="left"), np.searchsorted(ranked, wanted, side="right")
+
+
 _CONTEXT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("anchor", pa.int64()), ("crowded", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
 
 
@@ -114,19 +129,18 @@ def _contexts(batches):
         raws = _raw(part.column("text").to_pylist())
         text, pos, anchor, context = anchors(raws)
         keys, order = key_of(anchor, context), np.arange(len(raws))
-        ids, wanted = part.column("doc_id").to_pylist(), part.column("marks").to_pylist()
+        ids = part.column("doc_id").to_pylist()
+        ends, (wanted, kind) = _lists(part.column("marks"), "key", "kind")
         bounds = np.searchsorted(text, [*order, len(raws)])
         rows = []
-        for i, marks in enumerate(wanted):
-            kinds = {m["key"]: m["kind"] for m in marks if m["kind"] != FULL}
+        for i in range(len(raws)):
             a, b = bounds[i], bounds[i + 1]
-            mine = keys[a:b]
-            hit = np.flatnonzero(np.isin(mine, np.fromiter(kinds, np.int64, len(kinds)))) if kinds else []
-            for k in hit:
-                key = int(mine[k])
-                if key in kinds:
-                    p = int(pos[a + k])
-                    rows.append((ids[i], key, int(anchor[a + k].view(np.int64)), kinds.pop(key) == CROWDED, raws[i][max(0, p - LEFT) : p], raws[i][p : p + LENGTH]))
+            mark, how = wanted[ends[i] : ends[i + 1]], kind[ends[i] : ends[i + 1]]
+            mark, how = mark[how != FULL], how[how != FULL]
+            found, start, stop = _places(keys[a:b], mark)
+            for first, crowded in zip(found[start[start < stop]].tolist(), (how == CROWDED)[start < stop].tolist()):
+                p = int(pos[a + first])
+                rows.append((ids[i], int(keys[a + first]), int(anchor[a + first].view(np.int64)), crowded, raws[i][max(0, p - LEFT) : p], raws[i][p : p + LENGTH]))
         yield batch_of(_CONTEXT, rows)
 
 
@@ -261,25 +275,25 @@ def _cover(batches):
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("kept_sha256", pa.string())])
     for part in text_slices(batches, max_bytes=1 << 19):
         ids, raws = part.column("doc_id").to_pylist(), _raw(part.column("text").to_pylist())
-        marks, parts = part.column("marks").to_pylist(), part.column("parts").to_pylist()
-        touched = [i for i in range(len(raws)) if marks[i] or parts[i]]
+        mark_ends, (mark, kind) = _lists(part.column("marks"), "key", "kind")
+        part_ends, (shared, before, after) = _lists(part.column("parts"), "key", "before", "after")
+        touched = np.flatnonzero((np.diff(mark_ends) > 0) | (np.diff(part_ends) > 0)).tolist()
         text, pos, anchor, context = anchors([raws[i] for i in touched])
         keys, bounds = key_of(anchor, context), np.searchsorted(text, np.arange(len(touched) + 1))
         spans: dict[int, list] = {}
         for t, i in enumerate(touched):
             size, own, at = len(raws[i]), keys[bounds[t] : bounds[t + 1]], pos[bounds[t] : bounds[t + 1]]
             depth = np.zeros(size + 1, np.int64)
-            full = np.asarray([m["key"] for m in marks[i] or () if m["kind"] == FULL], np.int64)
-            p = at[np.isin(own, full)]
+            m, k = slice(mark_ends[i], mark_ends[i + 1]), slice(part_ends[i], part_ends[i + 1])
+            p = at[np.isin(own, mark[m][kind[m] == FULL])]
             np.add.at(depth, np.maximum(0, p - LEFT), 1)
             np.add.at(depth, np.minimum(size, p + LENGTH), -1)
-            if parts[i]:
-                order = np.argsort(own, kind="stable")
-                for x in parts[i]:
-                    a, b = np.searchsorted(own[order], [x["key"], x["key"]], side="left")[0], np.searchsorted(own[order], x["key"], side="right")
-                    for q in at[order[a:b]].tolist():
-                        depth[q - x["before"]] += 1
-                        depth[q + x["after"]] -= 1
+            if k.start < k.stop:
+                order, start, stop = _places(own, shared[k])
+                n = stop - start
+                q = at[order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)]]
+                np.add.at(depth, q - np.repeat(before[k], n), 1)
+                np.add.at(depth, q + np.repeat(after[k], n), -1)
             gone = np.cumsum(depth[:-1]) > 0
             edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).tolist()
             spans[i] = list(zip(edges[::2], edges[1::2]))
