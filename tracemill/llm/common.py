@@ -8,7 +8,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,27 @@ def column_or_null(df: DataFrame, name: str, kind: str):
     return (F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)).alias(name)
 
 
+def gather(items: Column, start: dict, step, kind: str, block: int = 256) -> Column:
+    """Array of what ``step(state, item)`` gives along ``items``, in time in proportion to their number.
+
+    ``start`` names the state's first values; ``step`` returns the next state, as a dictionary of the same
+    names, and what to add, of type ``kind``. Results are appended to blocks, and blocks to a list.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+    zero = F.struct(*(v.alias(n) for n, v in start.items()), empty.alias("_block"), F.array().cast(f"array<array<{kind}>>").alias("_full"))
+
+    def run(acc, item):
+        state, result = step(acc, item)
+        full = F.size(acc["_block"]) >= block
+        return F.struct(
+            *(state[n].alias(n) for n in start),
+            F.when(full, F.array(result)).otherwise(F.array_append(acc["_block"], result)).alias("_block"),
+            F.when(full, F.array_append(acc["_full"], acc["_block"])).otherwise(acc["_full"]).alias("_full"),
+        )
+
+    return F.aggregate(items, zero, run, lambda acc: F.flatten(F.array_append(acc["_full"], acc["_block"])))
+
+
 def batch_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     """A record batch from row tuples in schema order."""
     columns = zip(*rows) if rows else [()] * len(schema)
