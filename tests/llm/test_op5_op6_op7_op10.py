@@ -183,3 +183,12 @@ def test_token_counts_of_very_long_words(monkeypatch):
     monkeypatch.setattr(token_counts, "SHARED", 7)
     short = token_counts.TrieCounter(scores)
     assert short.count([text, text[:1500]]) == want and short.nodes < 20
+
+
+def test_license_scan_of_many_detections(spark):
+    """A text of detections only: places and words are counted along it, in time in proportion to its length."""
+    n = 8_000
+    text = "MIT License, gnu general public license. " * n
+    docs = spark.createDataFrame([(1, text), (2, text + "x")], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in license_scan.scan(docs).collect()}
+    assert got == {1: (6 * n, 2 * n, 0, 6 * n - 4, "gpl,mit"), 2: (6 * n + 1, 2 * n, 0, 6 * n - 4, "gpl,mit")}

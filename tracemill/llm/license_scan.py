@@ -17,6 +17,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.common import gather
+
 #: Fixed phrases and labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -131,18 +133,18 @@ def _spaces(x: Column) -> Column:
 
 
 def _places(canon: Column, pattern: Column) -> Column:
-    """Array of (first, last) characters of all places of a pattern between blanks."""
+    """Array of (first, last) characters, and the word of the first, of all places of a pattern between blanks."""
     bounded = F.concat(F.lit("(?<= )(?:"), pattern, F.lit(")(?= )"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,last:int>>").alias("got"))
 
     def step(acc, x):
-        first = acc["at"] + F.length(x["piece"])
+        first, blanks = acc["at"] + F.length(x["piece"]), acc["blanks"] + _spaces(x["piece"])
         last = first + F.length(x["found"])
-        return F.struct(last.alias("at"), F.array_append(acc["got"], F.struct(first.alias("first"), last.alias("last"))).alias("got"))
+        place = F.struct(first.alias("first"), last.alias("last"), (blanks - 1).alias("word"))
+        return {"at": last, "blanks": blanks + _spaces(x["found"])}, place
 
     found, pieces = F.regexp_extract_all(canon, bounded, F.lit(0)), F.split(canon, bounded, F.lit(-1))
     pairs = F.filter(F.zip_with(pieces, found, lambda p, f: F.struct(p.alias("piece"), f.alias("found"))), lambda x: x["found"].isNotNull())
-    return F.aggregate(pairs, start, step, lambda acc: acc["got"])
+    return gather(pairs, {"at": F.lit(0), "blanks": F.lit(0)}, step, "struct<first:int,last:int,word:int>")
 
 
 def _rule_array(table) -> Column:
@@ -191,7 +193,7 @@ def scan(docs: DataFrame, table=None) -> DataFrame:
     bases = F.flatten(
         F.transform(
             F.filter(F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(n).alias("label")) for p, n in BASE.items())), lambda b: F.contains("canon", b["phrase"])),
-            lambda b: F.transform(_places(F.col("canon"), b["phrase"]), lambda x: F.struct((_spaces(F.substring(F.col("canon"), F.lit(1), x["first"])) - 1).alias("word"), b["label"].alias("label"))),
+            lambda b: F.transform(_places(F.col("canon"), b["phrase"]), lambda x: F.struct(x["word"].alias("word"), b["label"].alias("label"))),
         )
     )
     seen = cut.select("doc_id", "n_words", F.when(F.col("canon").isNotNull(), _keep(sorted_found)).alias("own"), F.when(F.col("canon").isNotNull(), bases).alias("base"))
