@@ -30,7 +30,8 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts."""
-    return secret_scan.redact(docs, secret_scan.train(secret_scan.labelled_findings(spark)))
+    words = secret_scan.corpus_words(docs)
+    return secret_scan.redact(docs, secret_scan.train(secret_scan.labelled_findings(spark), words), words=words)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
