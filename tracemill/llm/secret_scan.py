@@ -31,7 +31,7 @@ CANDIDATE = (
     rf"{HEAD}(?s:.*?)(?:{HEAD.replace('BEGIN', 'END')}|\z)"
     rf"|(?<![A-Za-z0-9])(?:{PROVIDER})(?:[A-Za-z0-9_+/]|-(?!{HEAD[1:]}))*+={{0,2}}"
     rf"|(?<=[=: \"'])(?<=(?i:{NAMES})[\"']?[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?)(?:(?!{HEAD})[^\s\"'<>,;]){{8,}}+"
-    rf"|(?<![A-Za-z0-9_+/=-])(?=[_+/-]*+[A-Za-z0-9])(?:[A-Za-z0-9_+/]|-(?!{HEAD[1:]})){{16,}}+={{0,2}}"
+    rf"|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z0-9_+/-]{{16}})(?=[_+/-]*+[A-Za-z0-9])(?:[A-Za-z0-9_+/]|-(?!{HEAD[1:]})){{16,}}+={{0,2}}"
 )
 GATE = rf"[0-9]|[A-Za-z_+/-]{{16}}|PRIVATE KEY|(?i:{NAMES})[\"']?[ ]{{0,2}}[=:]|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox|AIza|sk[-_]|npm_|eyJ"
 #: Words for the labelled findings, and the dictionary where no corpus is given.
