@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import batch_of, column_or_null, text_slices
@@ -166,15 +166,13 @@ def training_sample(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     if not counts:
         return usable.select("doc_id", "lang", "text").limit(0)
     each = max(1, sample // len(counts))
-    keyed = usable.withColumn("at", F.xxhash64("doc_id", "lang"))
-    picked = None
-    for lang, n in sorted(counts.items()):  # of about twice as many as needed, the lowest
-        limit = min((1 << 64) - 1, (2 * each + 50) * (1 << 64) // n) - (1 << 63)
-        few = keyed.where((F.col("lang") == lang) & (F.col("at") <= limit) & F.col("text").rlike(r"\p{L}")).groupBy("doc_id", "lang", "at").agg(F.lit(1).alias("one"))
-        few = few.orderBy("at", "doc_id").limit(each).select("doc_id", "lang")
-        picked = few if picked is None else picked.unionByName(few)
-    rows = usable.where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(picked), ["doc_id", "lang"])  # at most ``sample`` rows
-    return rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    # hashes up to a limit hold about twice as many rows of a language as needed, whatever its size
+    limits = [min((1 << 64) - 1, (2 * each + 50) * (1 << 64) // n) - (1 << 63) for n in counts.values()]
+    limit_of = F.element_at(F.create_map(*(F.lit(v) for pair in zip(counts, limits) for v in pair)), F.col("lang"))
+    low = usable.withColumn("at", F.xxhash64("doc_id", "lang")).where(F.col("at") <= limit_of).where(F.col("text").rlike(r"\p{L}"))
+    once = low.groupBy("doc_id", "lang", "at").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))  # about 2 * each + 50 rows of a language
+    return once.withColumn("place", place).where(F.col("place") <= each).select("doc_id", "lang", "text")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, families: dict[str, tuple[str, ...]] = FAMILIES) -> LanguageModel:
