@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tracemill.functions import scalars
+from tracemill.functions import scalars, variants
 from tracemill.operators import branches, dataset, messages, scans
 from tracemill.sources import tables
 
@@ -55,21 +55,71 @@ def test_messages_of_irregular_requests(spark):
     df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)] + [(90, "{broken"), (91, None)], "i long, body string")
     got = {r.i: r.m for r in df.select("i", messages.prompt_messages(F.col("body")).alias("m")).collect()}
     assert [(m.role, m.content) for m in got[0]] == [("user", "a\nb"), ("assistant", None)]
-    assert (got[0][1].tool_calls[0].id, got[0][1].tool_calls[0].name, got[0][1].tool_calls[0].arguments) == ("c1", "f", '{"k": 1}')
+    assert (got[0][1].tool_calls[0].id, got[0][1].tool_calls[0].function.name, got[0][1].tool_calls[0].function.arguments) == ("c1", "f", '{"k": 1}')
     assert [(m.role, m.content) for m in got[1] + got[2]] == [("user", "plain"), ("user", "7")]
     assert (got[3][0].role, got[3][0].content, got[3][0].tool_call_id) == ("tool", "done", "c1")
-    assert got[3][1].role == "assistant" and got[3][1].tool_calls[0].name == "g"
+    assert got[3][1].role == "assistant" and got[3][1].tool_calls[0].function.name == "g"
     assert all(got[i] is None for i in (4, 5, 6, 90, 91))
 
 
+def test_messages_of_either_path_agree(spark):
+    call = lambda ident, name, arguments, call_id=None: {"id": ident, "type": "function", "function": {"name": name, "arguments": arguments}, "call_id": call_id}
+    plain = [
+        {"role": "system", "content": "be"}, {"role": "user", "content": [{"type": "input_text", "text": "a"}, "b", {"text": ""}]},
+        {"role": "assistant", "content": "c", "tool_calls": [{"id": "i", "function": {"name": "f", "arguments": "{}"}, "call_id": "k"}]}, {"role": "tool", "content": "d", "call_id": "k", "name": "f"},
+    ]
+    odd = [
+        {"type": "tool_result", "output": "o", "content": "c", "call_id": "z"}, {"type": "function_call_output"}, {"type": "function_call", "id": "i"}, {"type": "function_call"},
+        {"role": "assistant", "content": "x", "id": "msg_1"}, {"role": "user", "content": "", "output": "out"}, {"role": "assistant", "content": "y", "tool_calls": [{"function": {"arguments": {"q": 1}}}, 3]},
+    ]
+    bodies = [json.dumps({"messages": plain}), json.dumps({"messages": plain + odd}), json.dumps({"input": odd}), json.dumps({"input": ""})]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i long, body string")
+    got = {r.i: [m.asDict(recursive=True) for m in r.m] for r in df.select("i", messages.prompt_messages(F.col("body")).alias("m")).collect()}
+    assert all(got[i] == messages.messages_of(json.loads(b)) for i, b in enumerate(bodies))
+    assert [(m["role"], m["content"], m["tool_call_id"], m["name"]) for m in got[0]] == [("system", "be", None, None), ("user", "a\nb", None, None), ("assistant", "c", None, None), ("tool", "d", "k", "f")]
+    assert got[0][2]["tool_calls"] == [call("i", "f", "{}", "k")]
+    assert [(m["role"], m["content"], m["tool_calls"], m["tool_call_id"]) for m in got[2]] == [
+        ("tool", "o", None, "z"), ("assistant", None, [call("i", "", "")], None), ("assistant", "x", [call("msg_1", "", "")], None), ("user", "out", None, None), ("assistant", "y", [call(None, "", '{"q": 1}')], None),
+    ]
+    assert got[3] == [{"role": "user", "content": "", "tool_calls": None, "tool_call_id": None, "name": None}]
+
+
+def test_answers_of_all_shapes(spark):
+    call = {"id": "i", "type": "function", "function": {"name": "f", "arguments": "{}"}}
+    payloads = [
+        {"canonical": {"assistant_message": {"role": "assistant", "content": "c"}}, "json": {"output_text": "no"}}, {"canonical": {"assistant_message": {"content": None}}, "json": {"output_text": "yes"}},
+        {"json": {"choices": [{"message": {"role": "assistant", "content": None, "tool_calls": [call]}}]}}, {"json": {"choices": [{"message": {"content": {"text": "t"}}}]}}, {"json": {"output_text": ["a", "", 3, "b"]}},
+        {"json": {"output": [{"type": "reasoning"}, {"type": "message", "content": [{"type": "output_text", "text": "m"}]}, {"type": "function_call", "id": "i", "name": "f", "arguments": {"a": 1}, "call_id": "k"}]}},
+        {"json": {"choices": [{"message": {"content": None}}]}}, {"json": [1]}, {"preview": "x"}, {"json": {"choices": [{"message": {"content": {"odd": 1}}}]}}, {"canonical": {"assistant_message": {"content": ""}}},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(payloads)] + [(90, None), (91, "{")], "i long, p string")
+    got = {r.i: r.m.asDict(recursive=True) if r.m else None for r in df.select("i", messages.answer(variants.parsed(F.col("p"))).alias("m")).collect()}
+    assert all(got[i] == messages.answer_of(p) for i, p in enumerate(payloads)) and got[90] is None and got[91] is None
+    assert [got[i] and got[i]["content"] for i in range(11)] == ["c", "yes", None, "t", "a\nb", "m", None, None, None, '{"odd": 1}', ""]
+    assert got[5]["tool_calls"] == [{"id": "i", "type": "function", "function": {"name": "f", "arguments": '{"a": 1}'}, "call_id": "k"}] and got[2]["tool_calls"][0]["function"] == call["function"]
+
+
+def test_values_have_types(spark):
+    row = lambda text, *cs: spark.createDataFrame([(text,)], "x string").select(variants.parsed(F.col("x")).alias("v")).select(*(c(F.col("v")).alias(f"c{i}") for i, c in enumerate(cs))).first()
+    v = variants
+    text = '{"b": true, "i": 3, "f": 2.5, "s": "7", "n": null, "o": {"z": [], "y": {"x": [1, "t", {"w": null}]}}}'
+    assert list(row(text, lambda x: v.number(x, "$.b"), lambda x: v.number(x, "$.i"), lambda x: v.number(x, "$.s"), lambda x: v.whole(x, "$.f"), lambda x: v.whole(x, "$.i"), lambda x: v.truth(x, "$.b"), lambda x: v.truth(x, "$.i"), lambda x: v.string(x, "$.i"))) == [None, 3.0, None, None, 3, True, None, None]
+    assert [tuple(x) for x in row(text, lambda x: v.leaves(v.at(x, "$.o")))[0]] == [("y.x.0", "1"), ("y.x.1", "t"), ("y.x.2.w", "null")]
+    assert [tuple(x) for x in row(text, lambda x: v.leaves(v.at(x, "$.o"), 1))[0]] == [("y", '{"x":[1,"t",{"w":null}]}'), ("z", "[]")]
+    assert row(text, lambda x: v.merged(x, v.parsed(F.lit('{"b": null, "i": "new", "q": {"k": 1}}')), v.parsed(F.lit("[1]"))))[0] == {"f": "2.5", "s": '"7"', "o": '{"y":{"x":[1,"t",{"w":null}]},"z":[]}', "i": '"new"', "q": '{"k":1}'}
+
+
 def test_answers_and_fingerprints(spark):
-    one = lambda text, f: spark.createDataFrame([(text,)], "x string").select(f(F.col("x"))).first()[0]
+    one = lambda text, f: spark.createDataFrame([(text,)], "x string").select(f(F.col("x")).alias("v")).first()[0]
     assert one('{"choices": [{"message": {"content": "hi"}}]}', messages.assistant_text) == "hi"
     assert one('{"output": [{"content": [{"text": "yo"}]}]}', messages.assistant_text) == "yo"
     assert one("no braces", messages.json_object) is None
     finger = lambda x: messages.fingerprint(x, ("user", "stream"))
     assert one('{"b": 1, "a": [2], "user": "u"}', finger) == one('{"a": [2], "stream": true, "b": 1}', finger)
     assert one('{"user": "u"}', finger) is None
+    left, right = '{"m": [{"role": "user", "p": {"y": [1, {"b": 2, "a": 1}], "x": null}}], "q\\"": "é\\n"}', '{"stream": true, "q\\"": "\\u00e9\\n", "m": [{"p": {"x": null, "y": [1, {"a": 1, "b": 2}]}, "role": "user"}]}'
+    assert one(left, messages.fingerprint) == one(right, messages.fingerprint) != one(left.replace("1,", "3,"), messages.fingerprint)
+    assert json.loads(one(left, messages.fingerprint)) == json.loads(left) and one("[1]", messages.fingerprint) is None
 
 
 def test_text_scalars(spark):

@@ -126,11 +126,12 @@ def merged_patches(events: DataFrame, *by: str) -> DataFrame:
 
 
 def branch_of_reference(refs: DataFrame, branches: DataFrame) -> DataFrame:
-    """(ref_id, run_id) of references to a branch: in their run, or, without a run, where just one has that branch."""
+    """(ref_id, run_id) of references to a branch: in their run, or, where that has none, in the only run that has it."""
     known = branches.select("run_id", "branch_id").distinct()
-    stated = refs.where("run_id is not null").join(known, ["run_id", "branch_id"], "left_semi").select("ref_id", "run_id")
-    alone = known.groupBy("branch_id").agg(F.count("*").alias("n"), F.min("run_id").alias("run_id")).where("n = 1").drop("n")
-    return stated.union(refs.where("run_id is null").drop("run_id").join(alone, "branch_id").select("ref_id", "run_id"))
+    alone = known.groupBy("branch_id").agg(F.count("*").alias("n"), F.min("run_id").alias("only_run")).where("n = 1").drop("n")
+    own = known.withColumn("own_run", F.col("run_id"))
+    placed = refs.join(own, ["run_id", "branch_id"], "left").join(alone, "branch_id", "left")
+    return placed.select("ref_id", F.coalesce("own_run", "only_run").alias("run_id")).where("run_id is not null")
 
 
 def handoff(decisions: DataFrame, fallback: str) -> DataFrame:

@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import variants as V
+from tracemill.operators.messages import MESSAGE
 
-CALL = "struct<id:string,type:string,function:struct<name:string,arguments:string>,call_id:string>"
-MESSAGE = f"struct<role:string,content:string,tool_calls:array<{CALL}>,tool_call_id:string,name:string>"
 _PART = "struct<kind:string,slot:string,type:string,id:string,role:string,name:string,call_id:string,text:string,raw:string,needed:boolean,prefix:string>"
 RESPONSES_PATHS = ("/v1/responses", "/responses")
 

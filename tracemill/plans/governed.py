@@ -101,7 +101,7 @@ query(
     "branch_references",
     lambda m: governance.branch_of_reference(m.artifacts.where("chosen_branch_id is not null").select(F.col("artifact_id").alias("ref_id"), F.when(F.col("seq") % 2 == 1, F.col("run_id")).alias("run_id"), F.col("chosen_branch_id").alias("branch_id")), m.branches),
     """SELECT artifact_id AS ref_id, b.run_id FROM artifacts a JOIN (SELECT DISTINCT run_id, branch_id FROM branches) b ON b.branch_id = a.chosen_branch_id AND b.run_id = a.run_id WHERE a.seq % 2 = 1
-    UNION ALL SELECT artifact_id, b.run_id FROM artifacts a JOIN (SELECT branch_id, min(run_id) AS run_id FROM branches GROUP BY branch_id HAVING count(DISTINCT run_id) = 1) b ON b.branch_id = a.chosen_branch_id WHERE a.seq % 2 = 0""",
+    UNION ALL SELECT artifact_id, b.run_id FROM artifacts a JOIN (SELECT branch_id, min(run_id) AS run_id FROM branches GROUP BY branch_id HAVING count(DISTINCT run_id) = 1) b ON b.branch_id = a.chosen_branch_id WHERE a.seq % 2 = 0 OR (a.run_id, a.chosen_branch_id) NOT IN (SELECT (run_id, branch_id) FROM branches)""",
 )
 query(
     "router_handoff",
@@ -183,19 +183,7 @@ query(
     "SELECT template, run_id, confidence, count(*) AS artifacts FROM (SELECT 'score' AS template, run_id, 0.8e0 AS confidence FROM spans WHERE outcome <> 'open' UNION ALL SELECT 'preference', run_id, 0.7e0 FROM pairs UNION ALL SELECT 'annotation', run_id, CASE WHEN bool_or(outcome <> 'open') THEN 0.65e0 ELSE 0.5e0 END FROM spans GROUP BY run_id) GROUP BY ALL",
 )
 
-# messages and answers
-_TURNS = "conv_id", "turn"
-
-
-def _requests(m: Model) -> DataFrame:
-    """A request body of one chat message for every turn, and an event stream that says its text word by word."""
-    chat = F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")))
-    words = F.transform(F.split("text", " "), lambda w: F.concat(F.lit("data: "), F.to_json(F.struct(F.concat(w, F.lit(" ")).alias("delta")))))
-    return m.table("conversations").select(*_TURNS, chat.alias("body"), F.concat(F.array_join(words, "\n\n"), F.lit("\n\ndata: [DONE]\n")).alias("stream"))
-
-
-query("prompt_messages", lambda m: _requests(m).select(*_TURNS, F.element_at(messages.prompt_messages(F.col("body")), 1).alias("m")).select(*_TURNS, "m.role", "m.content"), "SELECT conv_id, turn, role, text AS content FROM conversations WHERE role <> '' AND text <> ''")
-query("assembled_streams", lambda m: _requests(m).withColumn("p", messages.sse_data(F.col("stream"))).select(*_TURNS, messages.assembled(F.col("p")).alias("text"), F.size("p").cast("long").alias("fragments")), "SELECT conv_id, turn, text || ' ' AS text, len(string_split(text, ' ')) AS fragments FROM conversations")
+# answers
 query(
     "grades",
     lambda m: m.table("labels").select("doc_id", messages.grade(F.element_at(F.array(F.when(F.col("quality") == 1, "true").otherwise("false"), F.col("quality").cast("string"), F.to_json(F.struct((F.col("quality") == 1).alias("pass"))), F.to_json(F.struct((F.col("quality") / 2).alias("score")))), (F.col("doc_id") % 4 + 1).cast("int"))).alias("g")).select("doc_id", "g.passed", "g.score"),

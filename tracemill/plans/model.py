@@ -11,9 +11,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.operators import artifacts, branches, builders, curation, governance, spans
+from tracemill.operators import artifacts, branches, builders, curation, governance, records, spans
 from tracemill.plans.store import stored
-from tracemill.sources import tables
+from tracemill.sources import tables, wire
 
 
 class Model:
@@ -89,3 +89,32 @@ class Model:
         """Members of one cohort for each task family: candidates within their instance's quota."""
         free = curation.quotas(self.candidates).where("holdout_reason is null")
         return governance.with_slices(free, self.slices).withColumn("cohort_id", F.concat(F.lit("cohort_"), "task_family"))
+
+    # exchanges with bodies, from conversations
+    @cached_property
+    def exchange_facts(self) -> DataFrame:
+        return stored(wire.facts_from_conversations(self.table("conversations")), "run_id")
+
+    @cached_property
+    def exchange_artifacts(self) -> DataFrame:
+        return wire.artifacts_from_exchanges(wire.exchanges(self.table("conversations")))
+
+    @cached_property
+    def exchange_assigned(self) -> DataFrame:
+        return branches.assign(self.exchange_facts, spans.request_spans(self.exchange_facts))
+
+    @cached_property
+    def exchange_branches(self) -> DataFrame:
+        return branches.infer_branches(self.exchange_facts, self.exchange_assigned)
+
+    @cached_property
+    def request_records(self) -> DataFrame:
+        return stored(records.requests(self.exchange_facts, self.exchange_assigned), "run_id")
+
+    @cached_property
+    def branch_records(self) -> DataFrame:
+        return records.branch_records(self.request_records, self.exchange_branches)
+
+    @cached_property
+    def run_records(self) -> DataFrame:
+        return records.run_records(self.request_records, self.branch_records)

@@ -266,4 +266,4 @@ query(
 query("slugs", lambda m: m.table("part").select("p_partkey", scalars.slug(F.col("p_name")).alias("slug")), "SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower(coalesce(p_name, '')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS slug FROM part")
 query("shortened_text", lambda m: m.table("documents").where("text is not null").select("doc_id", scalars.shorten(F.col("text"), 72).alias("short")), r"SELECT doc_id, CASE WHEN length(flat) > 72 THEN rtrim(substr(flat, 1, 69), ' ') || '...' ELSE flat END AS short FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'), ' ') AS flat FROM documents WHERE text IS NOT NULL)")
 
-from tracemill.plans import governed  # noqa: E402, F401  (registers more queries)
+from tracemill.plans import exchanges, governed  # noqa: E402, F401  (registers more queries)
