@@ -6,13 +6,16 @@ pieces, requests tried again. The SQL says what must come out, from the conversa
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators import branches, messages, records, streams
 from tracemill.plans.model import Model
 from tracemill.plans.registry import query
-from tracemill.sources import wire
+from tracemill.sources import payloads, wire
 
 _KEY = ("conv_id", "turn")
 
@@ -89,3 +92,49 @@ query(
             CASE which WHEN 1 THEN 'branch:br_main' WHEN 3 THEN 'session:' || session_id ELSE 'slice:s' || turn END AS ref
         FROM (SELECT *, conv_id % 5 AS which, CASE WHEN turn % 5 <> 4 THEN run_id END AS own, CASE conv_id % 7 WHEN 0 THEN turn / 8 WHEN 1 THEN CAST(turn % 3 = 0 AS INT) WHEN 2 THEN turn WHEN 4 THEN 1 WHEN 5 THEN 0.25 END AS reward FROM {_EXCHANGES}) WHERE reward IS NOT NULL)""",
 )
+
+
+# bodies kept beside the facts
+def _packed(text: str) -> Column:
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else gzip.compress(t.encode(), mtime=0))
+
+    return F.pandas_udf(run, "binary")(text)
+
+
+def _bodies(m: Model) -> DataFrame:
+    """Documents as kept bodies; some files are no archives, and some references name another place, size or digest."""
+    docs, wrong = m.table("documents").select("doc_id", "text"), lambda n: F.col("doc_id") % n == 0
+    path = F.concat(F.lit("s/r/"), F.col("doc_id"), F.lit("/body.txt.gz"))
+    files = docs.where("text is not null").select(path.alias("relative_path"), F.when(wrong(7), F.concat(F.lit("plain "), "text").cast("binary")).otherwise(_packed("text")).alias("content"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    ref = F.struct(
+        F.when(wrong(17), "s3").otherwise("local_file").alias("storage"), F.when(wrong(13), F.concat(F.lit("../"), path)).otherwise(path).alias("relative_path"), F.lit(None).cast("string").alias("path"), F.lit("gzip").alias("encoding"), F.lit("text/plain").alias("content_type"),
+        F.when(wrong(10), size + 1).otherwise(size).alias("byte_size"), F.lit(None).cast("long").alias("compressed_size"), F.when(wrong(11), F.sha2(F.lit("other"), 256)).otherwise(F.sha2("text", 256)).alias("sha256"),
+    )
+    return payloads.read_bodies(docs.select("doc_id", ref.alias("body_ref")), files, "/bodies")
+
+
+query(
+    "payload_integrity",
+    lambda m: _bodies(m).select("doc_id", "state", F.octet_length("body").cast("long").alias("size")),
+    "SELECT doc_id, state, CASE WHEN state = 'ok' THEN strlen(text) END AS size FROM (SELECT doc_id, text, CASE WHEN doc_id % 17 = 0 THEN 'unsupported' WHEN doc_id % 13 = 0 THEN 'escapes' WHEN text IS NULL THEN 'missing' WHEN doc_id % 7 = 0 THEN 'unreadable' WHEN doc_id % 10 = 0 THEN 'size_mismatch' WHEN doc_id % 11 = 0 THEN 'digest_mismatch' ELSE 'ok' END AS state FROM documents)",
+)
+
+
+def _collection(m: Model) -> DataFrame:
+    """Pages as kept files, some of another kind; every third is referred to by a document, as are files that are not there."""
+    name = lambda n: F.concat(F.lit("s/r/"), n, F.lit("/body.json.gz"))
+    page = F.col("page_id")
+    files = m.table("pages").select(F.when(page % 9 == 1, F.concat(F.lit("s/r/"), page, F.lit("/notes.txt"))).otherwise(name(page)).alias("relative_path"), F.octet_length("html").cast("long").alias("length"), F.timestamp_seconds(page % 500).alias("modified"))
+    refs = m.table("documents").select(F.struct(F.lit("local_file").alias("storage"), F.concat(F.when(F.col("doc_id") % 5 == 0, "../").otherwise(""), name(F.col("doc_id") * 3)).alias("relative_path"), F.lit(None).cast("string").alias("path")).alias("body_ref"))
+    return payloads.summary(payloads.file_states(files, refs, "/bodies", F.timestamp_seconds(F.lit(500))), refs, "/bodies")
+
+
+query(
+    "payload_collection",
+    _collection,
+    """SELECT count(*) AS scanned_files, count(*) FILTER (WHERE state <> 'unmanaged') AS managed_files, count(*) FILTER (WHERE state = 'unmanaged') AS skipped_unmanaged_files, count(*) FILTER (WHERE state IN ('recent', 'orphan')) AS orphan_files, count(*) FILTER (WHERE state = 'recent') AS skipped_recent_files,
+    count(*) FILTER (WHERE state = 'orphan') AS would_delete_files, CAST(coalesce(sum(size) FILTER (WHERE state = 'orphan'), 0) AS BIGINT) AS would_delete_bytes, (SELECT count(DISTINCT doc_id) FILTER (WHERE doc_id % 5 <> 0) FROM documents) AS referenced_files, (SELECT count(*) FILTER (WHERE doc_id % 5 = 0) FROM documents) AS referenced_outside_root
+    FROM (SELECT strlen(html) AS size, CASE WHEN page_id % 9 = 1 THEN 'unmanaged' WHEN page_id IN (SELECT doc_id * 3 FROM documents WHERE doc_id % 5 <> 0) THEN 'referenced' WHEN 500 - page_id % 500 < 300 THEN 'recent' ELSE 'orphan' END AS state FROM pages)""",
+)

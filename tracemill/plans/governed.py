@@ -194,8 +194,3 @@ query(
     lambda m: m.table("labels").select("doc_id", F.get_json_object(messages.json_object(F.concat(F.lit("It is:\n```json\n{\"quality\": "), F.col("quality").cast("string"), F.lit(", \"why\": {\"n\": 1}}\n```\nso."))), "$.quality").cast("long").alias("quality")),
     "SELECT doc_id, CAST(quality AS BIGINT) AS quality FROM labels",
 )
-query(
-    "payload_integrity",
-    lambda m: m.table("documents").select("doc_id", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("digest"), F.when(F.col("doc_id") % 10 == 0, F.octet_length("text") + 1).otherwise(F.octet_length("text")).alias("byte_size"), F.when(F.col("doc_id") % 11 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("text", 256)).alias("sha256")).select("doc_id", F.when(F.col("size").isNull(), "missing").when(F.col("size") != F.col("byte_size"), "size_mismatch").when(F.col("digest") != F.col("sha256"), "digest_mismatch").otherwise("ok").alias("state")),
-    "SELECT doc_id, CASE WHEN text IS NULL THEN 'missing' WHEN doc_id % 10 = 0 THEN 'size_mismatch' WHEN doc_id % 11 = 0 THEN 'digest_mismatch' ELSE 'ok' END AS state FROM documents",
-)
