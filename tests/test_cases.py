@@ -6,7 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tracemill.functions import scalars, variants
-from tracemill.operators import branches, dataset, messages, scans
+from tracemill.operators import artifacts, branches, dataset, messages, scans
 from tracemill.sources import tables
 
 HINTS = "run_id string, session_id string, fact_id string, request_id string, request_fact_id string, ts timestamp, seq long, kind string, semantic_kind string, target_fact_id string, target_request_id string, hint_branch_id string, hint_branch_type string, hint_status string, hint_parent_branch_id string, hint_parent_fact_id string, hint_parent_request_id string"
@@ -104,11 +104,43 @@ def test_values_have_types(spark):
     v = variants
     text = '{"b": true, "i": 3, "f": 2.5, "s": "7", "n": null, "o": {"z": [], "y": {"x": [1, "t", {"w": null}]}}}'
     assert list(row(text, lambda x: v.number(x, "$.b"), lambda x: v.number(x, "$.i"), lambda x: v.number(x, "$.s"), lambda x: v.whole(x, "$.f"), lambda x: v.whole(x, "$.i"), lambda x: v.truth(x, "$.b"), lambda x: v.truth(x, "$.i"), lambda x: v.string(x, "$.i"))) == [None, 3.0, None, None, 3, True, None, None]
-    assert [tuple(x) for x in row(text, lambda x: v.leaves(v.at(x, "$.o")))[0]] == [("y.x.0", "1"), ("y.x.1", "t"), ("y.x.2.w", "null")]
-    assert [tuple(x) for x in row(text, lambda x: v.leaves(v.at(x, "$.o"), 1))[0]] == [("y", '{"x":[1,"t",{"w":null}]}'), ("z", "[]")]
+    assert [tuple(x) for x in row(text, lambda x: v.leaves(v.at(x, "$.o")))[0]] == [("y.x.0", "1", False), ("y.x.1", "t", True), ("y.x.2.w", "null", False)]
+    assert [tuple(x) for x in row(text, lambda x: v.leaves(v.at(x, "$.o"), 1))[0]] == [("y", '{"x":[1,"t",{"w":null}]}', False), ("z", "[]", False)]
     assert row(text, lambda x: v.merged(x, v.parsed(F.lit('{"b": null, "i": "new", "q": {"k": 1}}')), v.parsed(F.lit("[1]"))))[0] == {"f": "2.5", "s": '"7"', "o": '{"y":{"x":[1,"t",{"w":null}]},"z":[]}', "i": '"new"', "q": '{"k":1}'}
 
 
+def test_strings_at_any_depth(spark):
+    deep = "br_9"
+    for i in range(30):
+        deep = {"k": deep} if i % 2 else ["x", deep, i]
+    texts = [json.dumps(v) for v in ("br_1", ["br_1", 1, None, True], {"a": {"b": [{"c": "br_2"}, "br_1"]}, "d": "br_2"}, deep, [], {}, 7)] + [None, "{"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", variants.strings(F.col("t")).alias("s"))
+    got = {r.i: sorted(r.s) if r.s is not None else None for r in df.collect()}
+    assert got == {0: ["br_1"], 1: ["br_1"], 2: ["br_1", "br_2"], 3: ["br_9", "x"], 4: [], 5: [], 6: [], 7: None, 8: None}
+
+
+def test_branches_that_payloads_mention(spark):
+    rows = spark.createDataFrame([("r1", "br_a"), ("r1", "br_b"), ("r2", "br_a")], "run_id string, branch_id string")
+    notes = [("t", "r1", "branch:br_a", {"x": "br_a"}), ("deep", "r1", "run:r1", {"a": [{"b": {"c": ["br_b"]}}]}), ("any", None, "run:r9", ["br_a"]), ("own", "r2", "run:r2", {"x": "br_b", "br_a": 1}), ("part", "r1", "run:r1", {"x": "br_a "}), ("none", "r1", "run:r1", None)]
+    notes = spark.createDataFrame([(i, "note", run, target, payload and json.dumps(payload)) for i, run, target, payload in notes], "artifact_id string, artifact_type string, run_id string, target_ref string, payload string")
+    assert sorted((r.artifact_id, r.run_id, r.branch_id) for r in artifacts.branch_mentions(rows, notes).collect()) == [("any", "r1", "br_a"), ("any", "r2", "br_a"), ("deep", "r1", "br_b"), ("t", "r1", "br_a")]
+
+
+def test_fields_of_candidates_merge_open_payloads(spark):
+    fields = {f: "v" for f in artifacts.E1_FIELDS} | {"verifier_score": 0.9, "quality_confidence": 0.5, "annotation_kind": "e1"}
+    columns = "artifact_id string, artifact_type string, status string, target_ref string, run_id string, session_id string, supersedes_artifact_id string, created_at long, seq long, payload string"
+    rows = [("s1", "session:s", fields | {"odd": [1], "note": "s", "flag": True}), ("r1", "run:r", {"annotation_kind": "e1", "task_type": "own", "note": None, "verifier_score": True, "new": {"k": 1}}), ("r2", "run:q", fields | {"annotation_kind": "other"})]
+    notes = spark.createDataFrame([(i, "annotation", "active", target, None, "s", None, n, n, json.dumps(p)) for n, (i, target, p) in enumerate(rows)], columns)
+    facts = spark.createDataFrame([("r", "s", 1, 1), ("q", "z", 2, 2), ("w", "s", 3, 3)], "run_id string, session_id string, ts long, seq long")
+    got = artifacts.candidate_fields(facts, notes).collect()
+    assert [(r.run_id, r.artifact_ids) for r in got] == [("w", ["s1"]), ("r", ["s1", "r1"])]
+    merged = got[1].fields
+    assert merged["task_type"] == '"own"' and merged["odd"] == "[1]" and merged["new"] == '{"k":1}' and "note" not in merged and "annotation_kind" not in merged and merged["flag"] == "true"
+    assert (got[1].verifier_score, got[0].verifier_score, got[1].quality_confidence) == (0.9, 0.9, 0.5)  # a truth value is no number
+    assert [r.run_id for r in artifacts.candidate_fields(facts, notes, limit=1).collect()] == ["w"]
+    assert [r.run_id for r in artifacts.candidate_fields(facts, notes, run_id="r").collect()] == ["r"] and artifacts.candidate_fields(facts, notes, session_id="z").collect() == []
+
+
 def test_answers_and_fingerprints(spark):
     one = lambda text, f: spark.createDataFrame([(text,)], "x string").select(f(F.col("x")).alias("v")).first()[0]
     assert one('{"choices": [{"message": {"content": "hi"}}]}', messages.assistant_text) == "hi"

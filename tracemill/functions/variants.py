@@ -123,13 +123,36 @@ def _entries(value: Column) -> Column:
     return F.coalesce(inside, listed)
 
 
-def leaves(value: Column, levels: int = 8, path: Column | None = None) -> Column:
-    """Leaves of a value as an array of (path, text): names joined by dots, strings as they are, the rest as JSON.
+def leaves(value: Column, levels: int = 6, path: Column | None = None) -> Column:
+    """Leaves of a value as an array of (path, text, is_string): names joined by dots, strings as they are, the rest as JSON.
 
     An empty object or list has no leaf. What lies deeper than ``levels`` is one leaf, as JSON.
     """
-    here = F.array(F.struct((F.lit("") if path is None else path).alias("path"), F.coalesce(string(value), F.to_json(value)).alias("text")))
+    here = F.array(F.struct((F.lit("") if path is None else path).alias("path"), F.coalesce(string(value), F.to_json(value)).alias("text"), F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False)).alias("is_string")))
     if not levels:
         return here
     step = lambda e: leaves(e["value"], levels - 1, e["name"] if path is None else F.concat(path, F.lit("."), e["name"]))
     return F.coalesce(F.flatten(F.transform(_entries(value), step)), F.when(value.isNotNull(), here))
+
+
+def _strings_below(value) -> list[str]:
+    if isinstance(value, (dict, list)):
+        return [t for v in (value.values() if isinstance(value, dict) else value) for t in _strings_below(v)]
+    return [value] if isinstance(value, str) else []
+
+
+def strings(text: Column, levels: int = 6) -> Column:
+    """All strings in a value given as JSON text, at any depth, each once: an array; null for what does not parse.
+
+    Only text with more than ``levels`` opening brackets can nest deeper than the expression looks; a Python function
+    reads it as well.
+    """
+    value = parsed(text)
+
+    def below(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.map(lambda t: None if t is None else _strings_below(json.loads(t)))
+
+    deep = F.when(value.isNotNull() & (F.length(F.regexp_replace(text, r"[^\[{]", "")) > levels), text)
+    near = F.transform(F.filter(leaves(value, levels), lambda x: x["is_string"]), lambda x: x["text"])
+    return F.array_distinct(F.concat(near, F.coalesce(F.pandas_udf(below, "array<string>")(deep), F.array().cast("array<string>"))))

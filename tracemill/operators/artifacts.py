@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.functions import variants as V
 from tracemill.functions.scalars import difficulty, round_to, target_kind, target_value
 from tracemill.operators.scans import in_order, live
 
@@ -53,6 +54,41 @@ def candidates(facts: DataFrame, artifacts: DataFrame, min_quality: float | None
     return rows.orderBy(F.desc("latest_ts"), "run_id")
 
 
+#: Fields that a candidate needs, and those of them that are numbers.
+NEEDED = ("task_family", "task_type", "task_template_hash", "task_instance_key", "verifier_score", "quality_confidence", "source_channel")
+_NUMBERS = ("verifier_score", "quality_confidence")
+
+
+def candidate_fields(facts: DataFrame, artifacts: DataFrame, session_id: str | None = None, run_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Candidates with all members of their annotations' payloads (JSON text), newest first.
+
+    A candidate has every needed field in its run's or its session's live annotation; a number must be one. ``fields``
+    maps each member to JSON text: the run's over the session's, and what ends as null is gone, even where the
+    session has a value. A scope is pushed down to facts and annotations.
+    """
+    if session_id is not None:
+        facts = facts.where(F.col("session_id") == session_id)
+    if run_id is not None:
+        facts = facts.where(F.col("run_id") == run_id)
+    runs = facts.groupBy("run_id").agg(F.min("session_id").alias("session_id"), F.max("ts").alias("latest_ts"))
+    notes = live(artifacts).where("artifact_type = 'annotation'").withColumn("_p", V.parsed(F.col("payload"))).where(V.string(F.col("_p"), "$.annotation_kind") == "e1")
+    kind = target_kind(F.col("target_ref"))
+    on = F.when(kind.isin("run", "session"), kind).when(F.col("run_id").isNotNull(), "run").when(F.col("session_id").isNotNull() & (kind == ""), "session")
+    ident = F.when(kind.isin("run", "session"), target_value(F.col("target_ref"))).otherwise(F.coalesce("run_id", "session_id"))
+    value = lambda f: V.number(F.col("_p"), f"$.{f}").cast("string") if f in _NUMBERS else V.named(F.col("_p"), f"$.{f}")
+    index = notes.select("artifact_id", on.alias("on"), ident.alias("ident"), F.col("payload"), *(value(f).alias(f) for f in NEEDED))
+    side = lambda name: index.where(F.col("on") == name).select(F.col("ident").alias(f"{name}_id"), *(F.col(c).alias(f"_{name}_{c}") for c in ("artifact_id", "payload", *NEEDED)))
+    own = side("run") if run_id is None else side("run").where(F.col("run_id") == run_id)
+    both = runs.join(side("session"), "session_id", "left").join(own, "run_id", "left")
+    first = {f: F.coalesce(f"_run_{f}", f"_session_{f}") for f in NEEDED}
+    for f in NEEDED:
+        both = both.where(first[f].isNotNull())
+    merged = F.map_filter(V.merged(V.parsed(F.col("_session_payload")), V.parsed(F.col("_run_payload"))), lambda k, v: k != "annotation_kind")
+    rows = both.select("run_id", "session_id", "latest_ts", F.array_compact(F.array("_session_artifact_id", "_run_artifact_id")).alias("artifact_ids"), merged.alias("fields"), *(first[f].cast("double").alias(f) for f in _NUMBERS))
+    rows = rows.orderBy(F.desc("latest_ts"), "run_id")
+    return rows if limit is None else rows.limit(limit)
+
+
 def bootstrap_e1(facts: DataFrame, spans: DataFrame, branches: DataFrame) -> DataFrame:
     """Annotations from a run's own outcomes: share of closed requests that succeeded, difficulty, channel."""
     closed, won = F.count_if(F.col("outcome") != "open"), F.count_if(F.col("outcome") == "succeeded")
@@ -88,6 +124,21 @@ def branch_overlays(branches: DataFrame, artifacts: DataFrame) -> DataFrame:
     return inside.select("run_id", "branch_id", "artifact_id", "artifact_type").union(anywhere)
 
 
+def branch_mentions(branches: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Artifacts on a branch by target, or by any string in their payload (JSON text) that is its name; of the run, or of no run.
+
+    The strings of every payload are laid out once and joined by name, in the run where the artifact has one. A name that
+    all runs share makes a row for each of them where an artifact has no run, as it concerns them all.
+    """
+    target = F.when(target_kind(F.col("target_ref")) == "branch", target_value(F.col("target_ref")))
+    named = F.array_distinct(F.array_compact(F.array_append(F.coalesce("_strings", F.array().cast("array<string>")), target)))
+    laid = artifacts.withColumn("_strings", V.strings(F.col("payload"))).select("artifact_id", "artifact_type", F.col("run_id").alias("own_run"), F.explode(named).alias("branch_id"))
+    rows = branches.select("run_id", "branch_id").distinct()
+    inside = rows.join(laid.where("own_run is not null").withColumnRenamed("own_run", "run_id"), ["run_id", "branch_id"])
+    anywhere = rows.join(laid.where("own_run is null").drop("own_run"), "branch_id").select("run_id", "branch_id", "artifact_id", "artifact_type")
+    return inside.select("run_id", "branch_id", "artifact_id", "artifact_type").union(anywhere)
+
+
 def scope_overlays(facts: DataFrame, artifacts: DataFrame, scope: str) -> DataFrame:
     """Artifacts on a run or a session, counted by type."""
     ids = facts.select(f"{scope}_id").distinct()

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators import branches, messages, records, streams
+from tracemill.operators import artifacts, branches, messages, records, streams
 from tracemill.plans.model import Model
 from tracemill.plans.registry import query
 from tracemill.sources import payloads, wire
@@ -138,3 +138,43 @@ query(
     count(*) FILTER (WHERE state = 'orphan') AS would_delete_files, CAST(coalesce(sum(size) FILTER (WHERE state = 'orphan'), 0) AS BIGINT) AS would_delete_bytes, (SELECT count(DISTINCT doc_id) FILTER (WHERE doc_id % 5 <> 0) FROM documents) AS referenced_files, (SELECT count(*) FILTER (WHERE doc_id % 5 = 0) FROM documents) AS referenced_outside_root
     FROM (SELECT strlen(html) AS size, CASE WHEN page_id % 9 = 1 THEN 'unmanaged' WHEN page_id IN (SELECT doc_id * 3 FROM documents WHERE doc_id % 5 <> 0) THEN 'referenced' WHEN 500 - page_id % 500 < 300 THEN 'recent' ELSE 'orphan' END AS state FROM pages)""",
 )
+
+
+# open payloads of artifacts
+def _with_leaves(m: Model) -> DataFrame:
+    """Artifacts whose payloads name branches one, two and three levels deep."""
+    third = F.when(F.col("seq") % 3 == 0, "br_main")
+    payload = F.to_json(F.struct(F.col("chosen_branch_id").alias("chosen"), F.struct(F.array("rejected_branch_id", "task_type").alias("list")).alias("pair"), F.array(F.struct(F.struct(third.alias("about"), F.col("score").alias("n")).alias("deep"))).alias("notes")))
+    return m.artifacts.select("artifact_id", "artifact_type", "run_id", "target_ref", payload.alias("payload"))
+
+
+query(
+    "branch_mentions",
+    lambda m: artifacts.branch_mentions(m.branches, _with_leaves(m)),
+    "SELECT DISTINCT b.run_id, b.branch_id, a.artifact_id, a.artifact_type FROM branches b JOIN artifacts a ON (a.run_id IS NULL OR a.run_id = b.run_id) AND (a.target_ref = 'branch:' || b.branch_id OR a.chosen_branch_id = b.branch_id OR a.rejected_branch_id = b.branch_id OR (a.seq % 3 = 0 AND b.branch_id = 'br_main'))",
+)
+
+
+def _open_notes(m: Model) -> DataFrame:
+    """Annotations with their fields in open payloads: members that no schema knows, and nulls that hide a session's value."""
+    note = F.when(F.col("target_ref").startswith("session:"), "of session").otherwise(F.when(F.col("seq") % 2 == 0, None).otherwise("of run"))
+    members = [F.lit("e1").alias("annotation_kind"), *artifacts.E1_FIELDS, note.alias("note"), F.when(F.col("run_id").isNull(), F.col("seq")).alias("only_session"), F.struct(F.col("seq").alias("at")).alias("odd")]
+    return m.artifacts.withColumn("payload", F.to_json(F.struct(*members), {"ignoreNullFields": "false"}))
+
+
+_SHOWN = ("task_type", "verifier_name", "note", "only_session")
+query(
+    "candidate_fields",
+    lambda m: artifacts.candidate_fields(m.facts, _open_notes(m)).select("run_id", "session_id", F.array_join("artifact_ids", ",").alias("artifact_ids"), F.size("fields").cast("long").alias("members"), "verifier_score", *(F.get_json_object(F.concat(F.lit('{"v":'), F.col("fields")[c], F.lit("}")), "$.v").alias(c) for c in _SHOWN), F.get_json_object(F.col("fields")["odd"], "$.at").cast("long").alias("odd")),
+    f"""SELECT run_id, session_id, concat_ws(',', sa, ra) AS artifact_ids, {" + ".join(f"CAST(own_{f} IS NOT NULL AS BIGINT)" for f in (*artifacts.E1_FIELDS, "note", "only_session", "odd"))} AS members, vs AS verifier_score, own_task_type AS task_type, own_verifier_name AS verifier_name, own_note AS note, CAST(own_only_session AS VARCHAR) AS only_session, own_odd AS odd
+    FROM (SELECT u.run_id, u.session_id, s.artifact_id AS sa, r.artifact_id AS ra, coalesce(r.verifier_score, s.verifier_score) AS vs, {", ".join(f"CASE WHEN r.artifact_id IS NOT NULL THEN r.{f} ELSE s.{f} END AS own_{f}" for f in artifacts.E1_FIELDS)},
+            CASE WHEN r.artifact_id IS NULL THEN 'of session' WHEN r.seq % 2 = 1 THEN 'of run' END AS own_note, CASE WHEN r.artifact_id IS NULL THEN s.seq END AS own_only_session, coalesce(r.seq, s.seq) AS own_odd
+        FROM (SELECT run_id, min(session_id) AS session_id FROM facts GROUP BY run_id) u
+        LEFT JOIN (SELECT a.* FROM annotations a JOIN live USING (artifact_id) WHERE a.target_kind = 'session') s ON s.target_id = u.session_id LEFT JOIN (SELECT a.* FROM annotations a JOIN live USING (artifact_id) WHERE a.target_kind = 'run') r ON r.target_id = u.run_id
+        WHERE {" AND ".join(f"coalesce(r.{f}, s.{f}) IS NOT NULL" for f in artifacts.NEEDED)})""",
+)
+query(
+    "retry_fingerprints",
+    lambda m: m.exchange_facts.where("kind = 'request_started'").groupBy("run_id").agg(F.count("*").alias("requests"), F.count_distinct("fingerprint").alias("fingerprints"), F.count_distinct("payload").alias("payloads")),
+    f"SELECT run_id, CASE WHEN retried THEN 2 ELSE 1 END AS requests, 1 AS fingerprints, CASE WHEN retried THEN 2 ELSE 1 END AS payloads FROM {_EXCHANGES}",
+)
