@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators import artifacts, branches, messages, records, streams
+from tracemill.operators import artifacts, branches, export, messages, records, scans, scope, streams
 from tracemill.plans.model import Model
 from tracemill.plans.registry import query
 from tracemill.sources import payloads, wire
@@ -178,3 +178,68 @@ query(
     lambda m: m.exchange_facts.where("kind = 'request_started'").groupBy("run_id").agg(F.count("*").alias("requests"), F.count_distinct("fingerprint").alias("fingerprints"), F.count_distinct("payload").alias("payloads")),
     f"SELECT run_id, CASE WHEN retried THEN 2 ELSE 1 END AS requests, 1 AS fingerprints, CASE WHEN retried THEN 2 ELSE 1 END AS payloads FROM {_EXCHANGES}",
 )
+
+
+# export plans and scopes
+_NAMED = {"task_family": "'family_' || (conv_id % 3)", "task_type": "CASE WHEN conv_id % 11 <> 3 THEN 'type_' || (conv_id % 2) END", "task_template_hash": "'tpl_' || (conv_id % 13)", "task_instance_key": "'inst_' || (conv_id % 40)", "taxonomy_version": "'tx' || (conv_id % 2)"}
+_PLAIN = {"verifier_name": "'unit'", "verifier_score": "0.5e0", "quality_confidence": "0.75e0", "annotation_version": "'a1'", "source_channel": "'captured'"}
+
+
+def _exchange_fields(m: Model) -> DataFrame:
+    """Resolved annotations of the runs of exchanges: some lack their task type, those of every ninth conversation have none."""
+    names = {**{c: x.replace("'", "\"") for c, x in _NAMED.items()}, **{c: x.replace("'", "\"").replace("e0", "D") for c, x in _PLAIN.items()}}
+    rows = wire.exchanges(m.table("conversations")).where("conv_id % 9 <> 4")
+    shown = [F.expr(names[c]).alias(c) for c in artifacts.E1_FIELDS]
+    lacking = F.when(F.col("task_type").isNull(), 1).otherwise(0).cast("long")
+    return rows.select(F.concat_ws("_", F.lit("chat"), "conv_id", "turn").alias("run_id"), F.concat(F.lit("chat_"), "conv_id").alias("session_id"), *shown).withColumns({"missing": lacking, "ready": lacking == 0})
+
+
+def _export(m: Model, **more) -> export.Plan:
+    """SFT records of all exchanges, those of every fourth conversation twice under other names, planned for export."""
+    rows = records.sft(m.exchange_facts)
+    again = rows.where(F.regexp_extract("session_id", r"(\d+)", 1).cast("long") % 4 == 0).withColumn("request_id", F.concat("request_id", F.lit("_again")))
+    return export.plan("sft", rows.unionByName(again), _exchange_fields(m), m.exchange_facts, m.exchange_artifacts, order=("request_id",), snapshot_id="ds_fixed", **more)
+
+
+_FIELDS_SQL = f"(SELECT *, {', '.join(f'CASE WHEN conv_id % 9 <> 4 THEN {x} END AS {c}' for c, x in _NAMED.items())} FROM {_EXCHANGES})"
+_SPLIT = "CASE WHEN p < 80 THEN 'train' WHEN p < 90 THEN 'val' ELSE 'test' END"
+# equal records: same task, prompt, answer and calls; of them the least request name stays
+_PLANNED = f"""(SELECT *, {_SPLIT} AS split FROM (SELECT *, CAST('0x' || substr(sha256(split_guard_key), 1, 8) AS BIGINT) % 100 AS p FROM (
+    SELECT arg_min(run_id, q) AS run_id, arg_min(conv_id, q) AS conv_id, min(q) AS request_id, coalesce('task_instance_key:' || task_instance_key, 'run_id:' || arg_min(run_id, q)) AS split_guard_key, count(*) AS copies, task_family, task_type, task_instance_key, task_template_hash
+    FROM (SELECT *, 'w' || (base + CASE WHEN retried THEN 2 ELSE 0 END) || suffix AS q FROM {_FIELDS_SQL}, (VALUES (''), ('_again')) s(suffix) WHERE suffix = '' OR conv_id % 4 = 0) GROUP BY prompt, text, calls, task_family, task_type, task_instance_key, task_template_hash)))"""
+query(
+    "export_records",
+    lambda m: _export(m).records.select("run_id", "request_id", "split", "split_guard_key", "copies", "task_type", "evidence_level", "dataset_recipe_id", "dataset_snapshot_id"),
+    f"SELECT run_id, request_id, split, split_guard_key, copies, task_type, CASE WHEN task_family IS NULL THEN NULL WHEN task_type IS NULL THEN 'E0' ELSE 'E1' END AS evidence_level, 'recipe.sft.v1' AS dataset_recipe_id, 'ds_fixed' AS dataset_snapshot_id FROM {_PLANNED}",
+)
+query(
+    "export_distributions",
+    lambda m: export.distributions(_export(m).records),
+    " UNION ALL ".join(f"SELECT '{c}' AS name, {v} AS value, count(*) AS records FROM {_PLANNED} WHERE {w} GROUP BY value" for c, v, w in (*((c, c, f"{c} IS NOT NULL") for c in ("task_family", "task_type", "task_template_hash")), ("verifier_name", "'unit'", "task_family IS NOT NULL"), ("source_channel", "'captured'", "task_family IS NOT NULL"), ("split", "split", "true"))),
+)
+query("export_blockers", lambda m: _export(m, cohort={"cohort_id": "c", "expected_use": "evaluation", "review_required": True}).blockers, f"SELECT 0 AS place, run_id, 'run ' || run_id || ' missing E1 annotations: task_type' AS blocker FROM {_FIELDS_SQL} WHERE task_family IS NOT NULL AND task_type IS NULL UNION ALL SELECT 2, NULL, 'cohort has pending review queue items' UNION ALL SELECT 3, NULL, 'cohort expected_use=evaluation is not exportable as a training dataset snapshot'")
+
+
+def _frozen(m: Model) -> DataFrame:
+    """Cohorts by task family as frozen: the first has frozen ids, the others what was there at their newest member's end."""
+    members = m.members.select("cohort_id", "run_id", "session_id", F.when(F.col("cohort_id") == "cohort_family_0", F.array("artifact_id")).alias("frozen_artifact_ids"))
+    made = m.members.groupBy("cohort_id").agg(F.max("latest_ts").alias("created_at"))
+    return scope.cohort_artifacts(members, made, m.facts, m.branches, m.artifacts.select("artifact_id", "run_id", "session_id", "target_ref", "created_at", "artifact_type"))
+
+
+query(
+    "frozen_cohort_artifacts",
+    lambda m: _frozen(m).select("cohort_id", "artifact_id", "artifact_type"),
+    """SELECT DISTINCT cohort_id, artifact_id, artifact_type FROM members JOIN artifacts USING (artifact_id) WHERE cohort_id = 'cohort_family_0'
+    UNION ALL SELECT c.cohort_id, a.artifact_id, a.artifact_type FROM (SELECT cohort_id, max(latest_ts) AS made FROM members WHERE cohort_id <> 'cohort_family_0' GROUP BY cohort_id) c JOIN artifacts a ON a.created_at <= c.made
+    WHERE (c.cohort_id, a.session_id) IN (SELECT (cohort_id, session_id) FROM members) AND ((c.cohort_id, a.run_id) IN (SELECT (cohort_id, run_id) FROM members)
+        OR (starts_with(a.target_ref, 'run:') AND (c.cohort_id, substr(a.target_ref, 5)) IN (SELECT (cohort_id, run_id) FROM members)) OR starts_with(a.target_ref, 'session:') AND (c.cohort_id, substr(a.target_ref, 9)) IN (SELECT (cohort_id, session_id) FROM members)
+        OR (starts_with(a.target_ref, 'fact:') AND (c.cohort_id, substr(a.target_ref, 6)) IN (SELECT (cohort_id, fact_id) FROM members JOIN facts USING (run_id))) OR (starts_with(a.target_ref, 'branch:') AND (c.cohort_id, substr(a.target_ref, 8)) IN (SELECT (cohort_id, branch_id) FROM members JOIN branches USING (run_id))))""",
+)
+query(
+    "frozen_ids",
+    lambda m: scope.frozen_ids(m.members, m.facts, m.branches, scans.live(m.artifacts), F.lit("2100-01-01").cast("timestamp")).select("run_id", F.array_join("frozen_artifact_ids", ",").alias("ids")),
+    """SELECT m.run_id, string_agg(a.artifact_id, ',' ORDER BY a.artifact_id) AS ids FROM (SELECT DISTINCT run_id, session_id FROM members) m JOIN live a ON a.session_id = m.session_id
+    WHERE CASE WHEN starts_with(a.target_ref, 'fact:') THEN (m.run_id, substr(a.target_ref, 6)) IN (SELECT (run_id, fact_id) FROM facts) WHEN starts_with(a.target_ref, 'branch:') THEN (m.run_id, substr(a.target_ref, 8)) IN (SELECT (run_id, branch_id) FROM branches)
+        ELSE coalesce(a.run_id = m.run_id, false) OR a.target_ref = 'run:' || m.run_id OR a.target_ref = 'session:' || m.session_id END GROUP BY m.run_id""",
+)
