@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame functions only.
 
 A candidate is a run of 16 key-like characters or more, a key with a provider's mark, a private key from
-its head to its end line (or the text's end), or the value after a word such as ``password`` or ``token``
+its head to its end line (or as far as its lines go), or the value after a word such as ``password`` or ``token``
 with ``=`` or ``:``, whole at any length. Its features are length, shares of character classes, character transitions, dictionary coverage, signs of a path around
 it and neighbouring words. A random forest of labelled findings (Spark ML, on DataFrames) gives the
 share of trees that call it a secret; the fitted trees become one SQL expression, so that a scan is a
@@ -26,9 +26,12 @@ AROUND = 60
 PROVIDER = r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|sk[-_](?:live|test|ant|proj)?[-_]?[A-Za-z0-9_-]{16,}|npm_[A-Za-z0-9]{30,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_.-]{8,}"
 NAMES = r"password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|credential|private[_-]?key"
 HEAD = r"-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+#: What may stand between a key's head and its end: header lines, then base64 characters, blanks and line ends (as two characters, too).
+_ABOUT = r"(?:\s*+(?:Proc-Type|DEK-Info|Key-Info|Version|Comment|Hash|Charset|MessageID|X-[A-Za-z-]{1,40}):[^\n\\]*+){0,6}"
+_LINE = r"(?:\s|\\[nrt]){0,6}+[A-Za-z0-9+/=]{32,}+"
 #: Repeats are possessive and unbounded: a candidate is a whole value, run or private key, and none runs into a private key.
 CANDIDATE = (
-    rf"{HEAD}(?s:.*?)(?:{HEAD.replace('BEGIN', 'END')}|\z)"
+    rf"{HEAD}{_ABOUT}(?:[A-Za-z0-9+/=\s\\]*+{HEAD.replace('BEGIN', 'END')}|(?:{_LINE})++)"
     rf"|(?<![A-Za-z0-9])(?:{PROVIDER})(?:[A-Za-z0-9_+/]|-(?!{HEAD[1:]}))*+={{0,2}}"
     rf"|(?<=[=: \"'])(?<=(?i:{NAMES})[\"']?[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?)(?:(?!{HEAD})[^\s\"'<>,;]){{8,}}+"
     rf"|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z0-9_+/-]{{16}})(?=[_+/-]*+[A-Za-z0-9])(?:[A-Za-z0-9_+/]|-(?!{HEAD[1:]})){{16,}}+={{0,2}}"
