@@ -154,6 +154,18 @@ def test_links_of_a_home_connect_what_is_linked(seed):
     assert len({*zip(want.tolist(), merged.tolist())}) == len(set(want.tolist())) == len(set(merged.tolist()))
 
 
+@pytest.mark.parametrize("small,large", [(3000, 40_000), (300, 40_000), (50, 600_000)])
+def test_large_sets_among_many_small_ones_are_linked(small, large):
+    """Hash groups are chosen for the small sets, so that each holds many shingles of the large ones."""
+    rng = np.random.default_rng(small)
+    make = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    one = np.unique(make(large))
+    two, apart = np.unique(np.concatenate([one[: int(large * 0.9)], make(large // 20)])), np.unique(np.concatenate([one[: int(large * 0.8)], make(large // 5)]))
+    sets = [np.unique(make(10)) for _ in range(small)] + [one, two, apart]
+    assert j.similar(len(np.intersect1d(one, two)), len(one), len(two)) and not j.similar(len(np.intersect1d(one, apart)), len(one), len(apart))
+    assert [sorted(x) for x in j.connect(sets, np.arange(len(sets)))] == [[small, small + 1]]
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7)]
     got = {tuple(r) for r in cc.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

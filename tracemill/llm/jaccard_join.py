@@ -319,6 +319,12 @@ def counts_of(tokens: np.ndarray, groups: int) -> np.ndarray:
     return np.minimum(np.bincount((tokens >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups), 255 if groups < FINEST else 65_535).astype(np.uint8 if groups < FINEST else np.uint16)
 
 
+def whole_counts(sets: list[np.ndarray], groups: int) -> np.ndarray:
+    """Shingles by hash group of each set, in the narrowest type that holds them all: their minima bound any overlap, however sizes mix."""
+    counts = (np.bincount((x >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups) for x in sets)
+    return np.stack([c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in counts])
+
+
 def screen(sizes: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
     """Which points have another one whose bound is enough.
 
@@ -360,8 +366,7 @@ def connect(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int, int]]:
                         found.append((i, j))
                         label[label == label[j]] = label[i]
 
-    groups = groups_for(8 * int(sizes.mean()))
-    for i, j in CountTree(np.stack([counts_of(x, groups) for x in sets]), sizes).pairs(label):
+    for i, j in CountTree(whole_counts(sets, groups_for(8 * int(sizes.mean()))), sizes).pairs(label):
         while len(i):
             mine = i == i[0]
             try_row(int(i[0]), j[mine])
