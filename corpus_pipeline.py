@@ -35,8 +35,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of at most 1024 token ids."""
-    return packing.pack(docs)
+    """Windows of at most 1024 token ids; the executors' memory is shared with what the stages before left in use."""
+    return packing.pack(docs, cached_chunks=60_000)
 
 
 STAGES = [

@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 _CUT = re.compile(r" (?=\S)")
-_LOADED: dict[str, ChunkEncoder] = {}
+_LOADED: dict[tuple, ChunkEncoder] = {}
 
 
 def default_path() -> str:
@@ -43,10 +43,11 @@ class ChunkEncoder:
         self.by_line = len(self.newline) == 1
 
     @classmethod
-    def load(cls, path: str) -> ChunkEncoder:
-        if path not in _LOADED:
-            _LOADED[path] = cls(path)
-        return _LOADED[path]
+    def load(cls, path: str, max_chunks: int | None = None) -> ChunkEncoder:
+        key = (path, max_chunks)
+        if key not in _LOADED:
+            _LOADED[key] = cls(path, *([max_chunks] if max_chunks else []))
+        return _LOADED[key]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

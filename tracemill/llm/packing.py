@@ -123,14 +123,17 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, tiers=TIERS, step_tokens: int = STEP_TOKENS, end_id: int = 0, buffer_tokens: int = 1 << 20) -> DataFrame:
-    """Rows of pieces: document, place in it, crc32 of its ids, window, place in that, tier and step group."""
+def pack(docs: DataFrame, tokenizer_path: str | None = None, tiers=TIERS, step_tokens: int = STEP_TOKENS, end_id: int = 0, buffer_tokens: int = 1 << 20, cached_chunks: int | None = None) -> DataFrame:
+    """Rows of pieces: document, place in it, crc32 of its ids, window, place in that, tier and step group.
+
+    ``cached_chunks`` bounds the encoder's cache where tasks have little memory; it changes no result.
+    """
     path = tokenizer_path or bpe.default_path()
 
     def run(batches):
-        packer, encoder = Packer(TaskContext.get().partitionId(), tiers, step_tokens), bpe.ChunkEncoder.load(path)
+        packer, encoder = Packer(TaskContext.get().partitionId(), tiers, step_tokens), bpe.ChunkEncoder.load(path, cached_chunks)
         end = np.asarray([end_id], np.uint32)
-        for part in text_slices(batches):
+        for part in text_slices(batches, max_bytes=1 << 20 if cached_chunks else 4 << 20):
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
                 packer.add(doc_id, np.concatenate([ids, end]))
                 if packer.held >= buffer_tokens or len(packer.rows) >= 50_000:
