@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators import artifacts, branches, export, messages, records, scans, scope, streams
+from tracemill.operators import artifacts, branches, export, messages, plugins, records, scans, scope, streams
 from tracemill.plans.model import Model
 from tracemill.plans.registry import query
 from tracemill.sources import payloads, wire
@@ -243,3 +243,26 @@ query(
     WHERE CASE WHEN starts_with(a.target_ref, 'fact:') THEN (m.run_id, substr(a.target_ref, 6)) IN (SELECT (run_id, fact_id) FROM facts) WHEN starts_with(a.target_ref, 'branch:') THEN (m.run_id, substr(a.target_ref, 8)) IN (SELECT (run_id, branch_id) FROM branches)
         ELSE coalesce(a.run_id = m.run_id, false) OR a.target_ref = 'run:' || m.run_id OR a.target_ref = 'session:' || m.session_id END GROUP BY m.run_id""",
 )
+
+
+# what users bring
+def shared_words(answer: str, reference: str | None) -> dict:
+    """A grader: the share of the reference's distinct words that the answer has; half of them pass."""
+    wanted = set((reference or "").split())
+    score = len(wanted & set(answer.split())) / len(wanted) if wanted else 0.0
+    return {"pass": score >= 0.5, "score": score}
+
+
+def longest_turns(turns: DataFrame, **_: DataFrame) -> DataFrame:
+    """A builder: the longest answer of each conversation, as the run it came from."""
+    said = turns.where("role = 'assistant'")
+    return said.groupBy("conv_id").agg(F.max(F.struct(F.length("text").alias("n"), "turn")).alias("m")).select(F.concat_ws("_", F.lit("chat"), "conv_id", "m.turn").alias("run_id"), F.col("m.n").cast("long").alias("characters"))
+
+
+query(
+    "custom_grader",
+    lambda m: records.sft(m.exchange_facts).select("run_id", plugins.grade_with("tracemill.plans.exchanges:shared_words", F.col("completion.content"), F.get("prompt", 0)["content"]).alias("g")).select("run_id", "g.passed", F.floor(F.col("g.score") * 1000 + 0.5).cast("long").alias("score")),
+    f"""SELECT run_id, coalesce(s, 0) >= 0.5 AS passed, CAST(floor(coalesce(s, 0) * 1000 + 0.5) AS BIGINT) AS score FROM (SELECT run_id, len(list_intersect(a, b)) / nullif(len(b), 0) AS s
+    FROM (SELECT run_id, list_distinct(regexp_extract_all(text, '\S+')) AS a, list_distinct(regexp_extract_all(first, '\S+')) AS b FROM {_EXCHANGES} JOIN (SELECT conv_id, arg_min(text, turn) AS first FROM conversations GROUP BY conv_id) USING (conv_id)))""",
+)
+query("custom_builder", lambda m: plugins.checked(plugins.load("tracemill.plans.exchanges:longest_turns"), ("run_id", "characters"))(turns=m.table("conversations")), "SELECT 'chat_' || conv_id || '_' || max(turn) FILTER (WHERE n = most) AS run_id, most AS characters FROM (SELECT conv_id, turn, length(text) AS n, max(length(text)) OVER (PARTITION BY conv_id) AS most FROM conversations WHERE role = 'assistant') GROUP BY conv_id, most")

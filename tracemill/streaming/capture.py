@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.operators import governance
+
 
 def read_facts(spark, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
     """Facts as they arrive in a folder of Parquet files."""
@@ -55,3 +58,28 @@ def append_new(path: str) -> Callable[[DataFrame, int], None]:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def append_facts(path: str, kinds: tuple[str, ...]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink of facts that keeps each identifier once and takes a batch whole or not at all.
+
+    A fact without identifier or scope, or of an unknown kind, stops its batch before anything is written. Identifiers of
+    other batches are left out by an anti-join; a batch that comes again replaces its own folder, so it leaves one copy.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        checked = governance.validate_facts(batch, kinds)
+        bad = checked.where("reason is not null and reason <> 'repeated'").select("fact_id", "reason").take(5)
+        if bad:
+            raise ValueError(f"batch {number} is not appended: " + "; ".join(f"{r.fact_id}: {r.reason}" for r in bad))
+        new = checked.where("reason is null").select(*batch.columns).dropDuplicates(["fact_id"])
+        try:
+            stored = spark.read.parquet(path).where(F.col("batch") != number).select("fact_id")
+            new = new.join(stored, "fact_id", "left_anti").select(*batch.columns)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
