@@ -263,6 +263,6 @@ query(
     "custom_grader",
     lambda m: records.sft(m.exchange_facts).select("run_id", plugins.grade_with("tracemill.plans.exchanges:shared_words", F.col("completion.content"), F.get("prompt", 0)["content"]).alias("g")).select("run_id", "g.passed", F.floor(F.col("g.score") * 1000 + 0.5).cast("long").alias("score")),
     f"""SELECT run_id, coalesce(s, 0) >= 0.5 AS passed, CAST(floor(coalesce(s, 0) * 1000 + 0.5) AS BIGINT) AS score FROM (SELECT run_id, len(list_intersect(a, b)) / nullif(len(b), 0) AS s
-    FROM (SELECT run_id, list_distinct(regexp_extract_all(text, '\S+')) AS a, list_distinct(regexp_extract_all(first, '\S+')) AS b FROM {_EXCHANGES} JOIN (SELECT conv_id, arg_min(text, turn) AS first FROM conversations GROUP BY conv_id) USING (conv_id)))""",
+    FROM (SELECT run_id, list_distinct(regexp_extract_all(text, '\\S+')) AS a, list_distinct(regexp_extract_all(first, '\\S+')) AS b FROM {_EXCHANGES} JOIN (SELECT conv_id, arg_min(text, turn) AS first FROM conversations GROUP BY conv_id) USING (conv_id)))""",
 )
 query("custom_builder", lambda m: plugins.checked(plugins.load("tracemill.plans.exchanges:longest_turns"), ("run_id", "characters"))(turns=m.table("conversations")), "SELECT 'chat_' || conv_id || '_' || max(turn) FILTER (WHERE n = most) AS run_id, most AS characters FROM (SELECT conv_id, turn, length(text) AS n, max(length(text)) OVER (PARTITION BY conv_id) AS most FROM conversations WHERE role = 'assistant') GROUP BY conv_id, most")
