@@ -27,3 +27,8 @@ def test_joins_within_a_run_deal_nothing_anew(joined):
     for df in (spans.request_spans(m.facts), branches.assign(m.facts, m.spans)):
         assert "Join" in _plan(df)
         assert "Exchange" not in _plan(df)
+
+
+def test_members_are_read_from_a_table(joined):
+    plan = _plan(Model.of(joined, FOLDER).members)
+    assert "Scan" in plan and "Window" not in plan and "Join" not in plan
