@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 
 from tracemill.operators import branches, spans
 from tracemill.plans.model import Model
+from tracemill.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -27,6 +28,7 @@ def test_joins_within_a_run_deal_nothing_anew(joined):
     for df in (spans.request_spans(m.facts), branches.assign(m.facts, m.spans)):
         assert "Join" in _plan(df)
         assert "Exchange" not in _plan(df)
+    assert "hashpartitioning(request_fact_id" not in _plan(QUERIES["same_prompt_pairs"](joined, FOLDER))
 
 
 def test_members_are_read_from_a_table(joined):

@@ -173,7 +173,7 @@ query(
 )
 query(
     "same_prompt_pairs",
-    lambda m: plans.same_prompt(m.pairs, m.assigned.join(m.spans.select("request_fact_id", "fingerprint"), "request_fact_id").groupBy("run_id", "branch_id").agg(F.min_by("fingerprint", F.struct("ts", "seq")).alias("prompt"))),
+    lambda m: plans.same_prompt(m.pairs, m.assigned.join(m.spans.select("run_id", "request_fact_id", "fingerprint"), ["run_id", "request_fact_id"]).groupBy("run_id", "branch_id").agg(F.min_by("fingerprint", F.struct("ts", "seq")).alias("prompt"))),
     "SELECT p.run_id, chosen, rejected, source, coalesce(c.prompt, r.prompt) AS prompt FROM pairs p LEFT JOIN (SELECT run_id, branch_id, first(fingerprint ORDER BY ts, seq) AS prompt FROM assigned GROUP BY ALL) c ON c.run_id = p.run_id AND c.branch_id = chosen LEFT JOIN (SELECT run_id, branch_id, first(fingerprint ORDER BY ts, seq) AS prompt FROM assigned GROUP BY ALL) r ON r.run_id = p.run_id AND r.branch_id = rejected WHERE coalesce(c.prompt = r.prompt, true)",
 )
 query("branch_trajectories", lambda m: plans.trajectories(m.assigned, "run_id", "branch_id"), "SELECT run_id, branch_id, string_agg(request_id || ':' || outcome, ',' ORDER BY ts, seq, request_id) AS steps FROM assigned GROUP BY ALL")
