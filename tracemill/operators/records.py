@@ -30,6 +30,11 @@ def picked(value: Column, names: tuple[str, ...], *either: str) -> Column:
     return F.when(F.size(found) > 0, found)
 
 
+def _with_prompts(rows: DataFrame, payload: str, name: str) -> DataFrame:
+    """Rows with the prompt of their payloads (VARIANT), whose usual messages are read once in a column of their own."""
+    return rows.withColumn("_plain", messages.plain_messages(V.at(F.col(payload), "$.json"))).withColumn(name, messages.request_messages(F.col(payload), F.col("_plain"))).drop("_plain")
+
+
 def sft(facts: DataFrame) -> DataFrame:
     """A sample for each answer of the model to a model request: prompt, completion, all messages, lineage.
 
@@ -37,7 +42,8 @@ def sft(facts: DataFrame) -> DataFrame:
     whole scope, whatever their runs.
     """
     of_model = facts.where("actor = 'model'")
-    asked = of_model.where("kind = 'request_started'").select(F.col("fact_id").alias("request_fact_id"), "request_id", messages.request_messages(_value()).alias("prompt")).where("prompt is not null")
+    requested = of_model.where("kind = 'request_started'").select(F.col("fact_id").alias("request_fact_id"), "request_id", _value().alias("_request"))
+    asked = _with_prompts(requested, "_request", "prompt").drop("_request").where("prompt is not null")
     answered = of_model.where("kind = 'response_finished' and parent_ref is not null").select("session_id", "run_id", F.col("parent_ref").alias("request_fact_id"), F.col("fact_id").alias("response_fact_id"), messages.answer(_value()).alias("completion")).where("completion is not null")
     lineage = F.struct(F.lit("sft").alias("builder"), F.array("request_fact_id", "response_fact_id").alias("fact_ids"), F.col("request_id"))
     return asked.join(answered, "request_fact_id").select("session_id", "run_id", "request_fact_id", "response_fact_id", "request_id", "prompt", "completion", F.array_append("prompt", F.col("completion")).alias("messages"), F.struct(F.lit("sft").alias("type")).alias("supervision"), lineage.alias("lineage"))
@@ -49,14 +55,15 @@ def requests(facts: DataFrame, assigned: DataFrame) -> DataFrame:
     about = facts.where("kind = 'request_started'").select("run_id", F.col("fact_id").alias("request_fact_id"), "actor", "path", F.col("payload").alias("_request"))
     rows = assigned.select("run_id", "session_id", "request_fact_id", F.coalesce("request_id", "request_fact_id").alias("request_id"), "ts", "seq", "outcome", "branch_id", "response_fact_id", "error_fact_id")
     rows = rows.join(about, ["run_id", "request_fact_id"]).join(side("response"), ["run_id", "response_fact_id"], "left").join(side("error"), ["run_id", "error_fact_id"], "left")
-    rows = rows.withColumns({"input_messages": messages.request_messages(_value("_request")), "output_message": messages.answer(_value("_response"))})
-    body = V.at(_value("_request"), "$.json")
-    response = F.when(F.col("output_message").isNotNull(), picked(_value("_response"), _RESPONSE)).otherwise(picked(_value("_response"), _RESPONSE, "canonical", "json", "text", "preview"))
+    rows = rows.withColumns({c: _value(c) for c in ("_request", "_response", "_error")})
+    rows = _with_prompts(rows, "_request", "input_messages").withColumn("output_message", messages.answer(F.col("_response")))
+    body, came = V.at(F.col("_request"), "$.json"), F.col("_response")
+    response = F.when(F.col("output_message").isNotNull(), picked(came, _RESPONSE)).otherwise(picked(came, _RESPONSE, "canonical", "json", "text", "preview"))
     said = F.coalesce("input_messages", F.array().cast(messages.MESSAGES))
     return rows.select(
         "session_id", "run_id", "request_id", "request_fact_id", "actor", "path", "branch_id", "outcome", "ts", "seq", "input_messages", "output_message",
         F.when(F.col("output_message").isNotNull(), F.array_append(said, F.col("output_message"))).otherwise(F.col("input_messages")).alias("messages"),
-        F.to_json(body).alias("request_payload"), response.alias("response"), "response_fact_id", picked(_value("_error"), _ERROR, "json", "text").alias("error"), "error_fact_id",
+        F.to_json(body).alias("request_payload"), response.alias("response"), "response_fact_id", picked(F.col("_error"), _ERROR, "json", "text").alias("error"), "error_fact_id",
     )
 
 

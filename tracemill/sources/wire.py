@@ -95,10 +95,11 @@ def facts_from_conversations(turns: DataFrame) -> DataFrame:
     """Facts of all exchanges with their payloads as JSON text."""
     rows = exchanges(turns)
     merged = streams.assemble(streams.events(stream_chunks(rows), "conv_id", "turn", "path"), "conv_id", "turn", path="path").select("conv_id", "turn", "complete", "assistant_message")
-    rows = rows.join(merged, ["conv_id", "turn"], "left").withColumns({"body": _request_body(False), "body_again": _request_body(True)})
+    rows = rows.join(merged, ["conv_id", "turn"], "left").withColumns({"body": _request_body(False), "body_again": F.when(F.col("retried"), _request_body(True))})
+    rows = rows.withColumns({f"{c}_print": messages.fingerprint(F.col(c)) for c in ("body", "body_again")})
     message = F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content"), F.when(F.size("calls") > 0, F.col("calls")).alias("tool_calls"))
     elsewhere, shape = F.col("shape") == "kept_elsewhere", F.col("shape")
-    request = lambda body: F.when(elsewhere, _json(path=F.col("path"), capture_truncated=F.lit(True), body_ref=_body_ref(body), input_messages=F.col("prior"), request_fingerprint=messages.fingerprint(body))).otherwise(F.concat(F.lit('{"path":"'), F.col("path"), F.lit('","json":'), body, F.lit("}")))
+    request = lambda body: F.when(elsewhere, _json(path=F.col("path"), capture_truncated=F.lit(True), body_ref=_body_ref(F.col(body)), input_messages=F.col("prior"), request_fingerprint=F.col(f"{body}_print"))).otherwise(F.concat(F.lit('{"path":"'), F.col("path"), F.lit('","json":'), body, F.lit("}")))
     response = (
         F.when(shape == "chat", _json(status_code=F.lit(200), json=F.struct(F.array(F.struct(F.lit(0).alias("index"), message.alias("message"))).alias("choices"))))
         .when(shape == "responses", F.concat(F.lit('{"status_code":200,"json":{"output":'), _items(), F.lit("}}")))
@@ -109,19 +110,19 @@ def facts_from_conversations(turns: DataFrame) -> DataFrame:
     null = F.lit(None).cast("string")
     name = lambda j: F.concat(F.lit("w"), F.col("base") + j)
 
-    def fact(j: int, kind: str, payload: Column, parent: Column = null, request_at: int | Column = 0, body: Column | None = None) -> Column:
+    def fact(j: int, kind: str, payload: Column, parent: Column = null, request_at: int | Column = 0, body: str | None = None) -> Column:
         asked = name(request_at if isinstance(request_at, int) else request_at)
-        return F.struct((F.col("base") + j).alias("seq"), F.lit(kind).alias("kind"), F.lit("proxy" if kind == "error_raised" else "model").alias("actor"), parent.alias("parent_ref"), asked.alias("request_id"), payload.alias("payload"), (messages.fingerprint(body) if body is not None else null).alias("fingerprint"))
+        return F.struct((F.col("base") + j).alias("seq"), F.lit(kind).alias("kind"), F.lit("proxy" if kind == "error_raised" else "model").alias("actor"), parent.alias("parent_ref"), asked.alias("request_id"), payload.alias("payload"), (F.col(f"{body}_print") if body is not None else null).alias("fingerprint"))
 
     answered = F.when(F.col("retried"), 2).otherwise(0)
     built = F.array(
-        fact(0, "request_started", request(F.col("body")), body=F.col("body")),
+        fact(0, "request_started", request("body"), body="body"),
         F.when(F.col("retried"), fact(1, "error_raised", error, name(0))),
-        F.when(F.col("retried"), fact(2, "request_started", request(F.col("body_again")), request_at=2, body=F.col("body_again"))),
+        F.when(F.col("retried"), fact(2, "request_started", request("body_again"), request_at=2, body="body_again")),
         fact(3, "response_finished", response, name(answered), answered),
     )
     flat = rows.select("conv_id", "turn", "path", "shape", F.explode(F.filter(built, lambda f: f.isNotNull())).alias("f"))
-    value = V.parsed(F.col("payload"))
+    value = V.parsed(F.when(F.col("kind") != "request_started", F.col("payload")))  # requests, the largest, have neither member
     whole = lambda x: x.cast("long")
     return flat.select(
         F.col("f.seq").alias("seq"), F.concat(F.lit("w"), "f.seq").alias("fact_id"), F.concat(F.lit("chat_"), "conv_id").alias("session_id"), F.concat_ws("_", F.lit("chat"), "conv_id", "turn").alias("run_id"),
