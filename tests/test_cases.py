@@ -126,6 +126,15 @@ def test_branches_that_payloads_mention(spark):
     assert sorted((r.artifact_id, r.run_id, r.branch_id) for r in artifacts.branch_mentions(rows, notes).collect()) == [("any", "r1", "br_a"), ("any", "r2", "br_a"), ("deep", "r1", "br_b"), ("t", "r1", "br_a")]
 
 
+def test_a_name_of_all_runs_is_dealt_over_many_tasks(spark):
+    rows = spark.range(600).select(F.when(F.col("id") > 0, F.concat(F.lit("r"), "id")).alias("run_id"), F.lit("br_main").alias("branch_id"))
+    notes = spark.range(301).select(F.concat(F.lit("a"), "id").alias("artifact_id"), F.lit("note").alias("artifact_type"), F.when(F.col("id") == 300, "r7").alias("run_id"), F.lit("branch:br_main").alias("target_ref"), F.lit("[]").alias("payload"))
+    got = artifacts.branch_mentions(rows, notes)
+    parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == got.distinct().count() == 600 * 300 + 1
+    assert max(parts) < 0.1 * sum(parts)
+
+
 def test_fields_of_candidates_merge_open_payloads(spark):
     fields = {f: "v" for f in artifacts.E1_FIELDS} | {"verifier_score": 0.9, "quality_confidence": 0.5, "annotation_kind": "e1"}
     columns = "artifact_id string, artifact_type string, status string, target_ref string, run_id string, session_id string, supersedes_artifact_id string, created_at long, seq long, payload string"
