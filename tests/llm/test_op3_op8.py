@@ -31,6 +31,22 @@ def test_chunks_equal_whole_texts():
     assert got == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_plain_chunks_are_cut_by_the_library_rule():
+    rng = random.Random(5)
+    alphabet = [*map(chr, range(32, 127)), *"éßüÀÖöøʯ", *" \n" * 9, "'s", "'ll", " 've", "word", " Über"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 25))) for _ in range(2000)]
+    encoder = bpe.ChunkEncoder(bpe.default_path(), max_chunks=300)
+    rule = encoder.tokenizer.pre_tokenizer
+    assert [bpe._PIECES(t) for t in texts] == [[t[a:b] for _, (a, b) in rule.pre_tokenize_str(t)] for t in texts]
+    whole, asked = encoder.tokenizer.encode_batch(texts, add_special_tokens=False), []
+    library = encoder._library
+    encoder._library = lambda part, *tokenizer: (asked.extend([] if tokenizer else part), library(part, *tokenizer))[1]
+    got = [list(x) for i in range(0, 2000, 40) for x in encoder.encode(texts[i : i + 40])]
+    assert got == [e.ids for e in whole]
+    assert all(not t.strip() for t in asked)  # all else is spelt here
+    assert [list(x) for x in encoder.encode(["", None, " a", "ab", "日本 語 x²", "<|endoftext|> a"])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in ("", "", " a", "ab", "日本 語 x²", "<|endoftext|> a")]
+
+
 def test_packing(spark, tmp_path):
     rows = table(spark, tmp_path)
     pieces = packing.op3_packing(spark, str(tmp_path)).collect()
