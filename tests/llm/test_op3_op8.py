@@ -1,5 +1,8 @@
 import io
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -128,3 +131,19 @@ def test_blocks_and_filter():
     assert [d for d, _ in r.scan()] == list(range(-3000, 3000, 3))
     assert all(len(r.lookup(i)) == (i % 3 == 0) for i in range(-3000, 3000, 7))
     assert sum(r.may_hold(i) for i in range(10_000, 20_000)) < 400
+
+
+def test_encoder_starts_no_threads_and_learns_plain_chunks_alike():
+    texts = ["erha, esti.\nRentsh it's 12a3! don't ' s a\n\n b x\ny z.", "Ñarezas, señor.\nHola ja.\nÍ, a\n  b", "erha. erha! x,,y"]
+    encoder = bpe.ChunkEncoder(bpe.default_path())
+    assert [[*ids.tolist(), 0] for ids in encoder.encode(texts)] == list(map(expected, texts))
+    code = """
+import os
+from tracemill.llm import bpe
+encoder = bpe.ChunkEncoder(bpe.default_path())
+before = len(os.listdir("/proc/self/task"))
+encoder.encode([" ".join(f"w{i}" for i in range(5000)) + " \u4e00\u4e8c"])
+assert len(os.listdir("/proc/self/task")) == before
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")}
+    subprocess.run([sys.executable, "-c", code], check=True, env=env)

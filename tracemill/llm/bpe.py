@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import codecs
 import itertools
+import os
 import re
 
 import numpy as np
@@ -24,7 +25,6 @@ _CUT = re.compile(r" (?=\S)")
 _WIDE = re.compile(r" (?!\S)").search
 #: Letters in every version of Unicode that a tokenizer may have been built with.
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af"
-_WORD = re.compile(f"[{_LETTER}]+").fullmatch
 _PLAIN = re.compile(f"[ -~\n{_LETTER}]+").fullmatch
 #: Pre-tokens of byte-level tokenizers, in plain texts.
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s0-9{_LETTER}]+|\\s+(?!\\S)|\\s+").findall
@@ -59,6 +59,8 @@ class ChunkEncoder:
     def __init__(self, path: str, max_chunks: int = 450_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own would wait for it, and each keeps memory
+
         self.tokenizer = Tokenizer.from_file(path)
         self.max_chunks = max_chunks
         self.young: dict = {}
@@ -109,21 +111,39 @@ class ChunkEncoder:
         get = known.__getitem__
         young.update([(k, b"".join(map(get, pieces))) for k, pieces in zip(keys, cut)])
 
+    def _learn_together(self, keys: list[str]) -> None:
+        """Plain keys without spaces inside: one cut of all of them, in which a space opens each key, and one look at each distinct piece."""
+        pieces = pa.array(_PIECES(" " + " ".join(keys)), pa.string()).dictionary_encode()
+        names, young = pieces.dictionary.to_pylist(), self.young
+        opens = np.fromiter((p[0] == " " for p in names), bool, len(names))
+        known = [young.get(p[1:] if p[0] == " " else (p,)) for p in names]
+        gaps = [j for j, ids in enumerate(known) if ids is None]
+        for some, learn in (([j for j in gaps if "\n" in names[j]], self._library), ([j for j in gaps if "\n" not in names[j]], self._merged)):
+            for j, ids in zip(some, learn([names[j] for j in some])):
+                known[j] = ids
+        at = pieces.indices.to_numpy()
+        sizes = np.fromiter(map(len, known), np.int64, len(known))[at]
+        first = np.flatnonzero(opens[at])
+        if len(first) != len(keys):
+            raise ValueError("a chunk of plain characters holds a space")
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat, bounds = b"".join(map(known.__getitem__, at.tolist())), [*ends[first].tolist(), int(ends[-1])]
+        young.update(zip(keys, [flat[a:b] for a, b in zip(bounds, bounds[1:])]))
+
     def _learn(self, keys: list) -> None:
         """Plain keys go by their pre-tokens, other words to the library a hundred lines at a time (a line's end is a token of its own there)."""
         by_text = [k for k in keys if type(k) is not str]
         keys = [k for k in keys if type(k) is str]
-        words, plain = [], []
         if self.by_piece:
-            words = list(filter(_WORD, keys))
-            if len(words) < len(keys):
-                one = set(words)
-                plain = list(filter(_PLAIN, [k for k in keys if k not in one])) + [k for k in by_text if _PLAIN(k[0])]
-        for i in range(0, len(words), 25_600):
-            part = words[i : i + 25_600]
-            self.young.update(zip(part, self._merged([" " + w for w in part])))
-        for i in range(0, len(plain), 25_600):
-            self._learn_pieces(plain[i : i + 25_600])
+            plain = list(filter(_PLAIN, keys))
+            spaced = [k for k in plain if " " in k]
+            if spaced:
+                plain = [k for k in plain if " " not in k]
+            for i in range(0, len(plain), 102_400):
+                self._learn_together(plain[i : i + 102_400])
+            spaced += [k for k in by_text if _PLAIN(k[0])]
+            for i in range(0, len(spaced), 25_600):
+                self._learn_pieces(spaced[i : i + 25_600])
         rest = [k for k in keys if k not in self.young]
         words = [k for k in rest if "\n" not in k and not k[-1].isspace()] if self.by_line else []
         for i in range(0, len(words), 25_600):

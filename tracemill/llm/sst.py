@@ -167,7 +167,7 @@ def _write(uri: str, tokenizer_path: str, end_id: int) -> Callable:
         temporary = f"{folder}/.try-{number:08d}-{context.taskAttemptId()}"
         writer = stream = None
         end = np.asarray([end_id], np.uint32)
-        for part in text_slices(batches):
+        for part in text_slices(batches, max_rows=4096, max_bytes=8 << 20):
             if writer is None:
                 fs.create_dir(folder, recursive=True)
                 stream = fs.open_output_stream(temporary)
