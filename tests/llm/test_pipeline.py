@@ -50,3 +50,21 @@ def test_stages_on_planted_rows(spark, tmp_path):
     assert packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).where("n <> t").count() == 0
     none = docs.where("false")
     assert all(stages[n](spark, none, str(tmp_path)).count() == 0 for n, _ in corpus_pipeline.STAGES[1:])
+
+
+def test_workers_keep_no_encoder_of_the_packing_stage(spark):
+    from tracemill.llm import packing
+
+    docs = spark.range(64).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text")).repartition(4)
+    assert packing.pack(docs, cached_chunks=777).groupBy().sum("length").first()[0] >= 64 * 4
+
+    def held(batches):
+        import pyarrow as pa
+
+        from tracemill.llm import bpe
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(size == 777 for _, size in bpe._LOADED)], pa.int64())})
+
+    assert spark.range(0, 64, 1, 8).mapInArrow(held, "n long").groupBy().sum("n").first()[0] == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -54,6 +55,13 @@ def release(df: DataFrame) -> None:
         _place(df.sparkSession, folder, lambda fs, place: fs.delete(place, True))
 
 
+def give_back() -> None:
+    """Give a Python worker's free memory back to the system: workers wait beside stages that need the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def column_or_null(df: DataFrame, name: str, kind: str):
     """``df[name]`` cast to ``kind``, or a typed null where the table has no such column."""
     return (F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)).alias(name)

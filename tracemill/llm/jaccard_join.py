@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import batch_of, materialize, text_slices
+from tracemill.llm.common import batch_of, give_back, materialize, text_slices
 from tracemill.llm.components import components
 from tracemill.llm.shingles import digest, shingle_sets
 
@@ -93,6 +93,8 @@ def _profile(batches):
             held, count = [], 0
     if held:
         yield frequent()
+    held = []
+    give_back()
 
 
 _POSTINGS = pa.schema([("bucket", pa.int32()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("shingles", pa.binary()), ("owner", pa.binary())])
@@ -151,6 +153,8 @@ def _postings(frequent, buckets: int):
                 nodes, sizes, prefixes, seen, count = [], [], [], set(), 0
         if nodes:
             yield pack(nodes, sizes, prefixes)
+        nodes, sizes, prefixes, seen = [], [], [], set()
+        give_back()
 
     return run
 

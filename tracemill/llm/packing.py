@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm import bpe
-from tracemill.llm.common import batch_of, text_slices
+from tracemill.llm.common import batch_of, give_back, text_slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 _OUT = pa.schema([(n, pa.int32() if k == "int" else pa.int64()) for n, k in (x.split() for x in SCHEMA.split(", "))])
@@ -126,12 +126,13 @@ class Packer:
 def pack(docs: DataFrame, tokenizer_path: str | None = None, tiers=TIERS, step_tokens: int = STEP_TOKENS, end_id: int = 0, buffer_tokens: int = 1 << 20, cached_chunks: int | None = None) -> DataFrame:
     """Rows of pieces: document, place in it, crc32 of its ids, window, place in that, tier and step group.
 
-    ``cached_chunks`` bounds the encoder's cache where tasks have little memory; it changes no result.
+    ``cached_chunks`` bounds the encoder's cache where tasks have little memory, and the encoder goes with its task; it changes no result.
     """
     path = tokenizer_path or bpe.default_path()
 
     def run(batches):
-        packer, encoder = Packer(TaskContext.get().partitionId(), tiers, step_tokens), bpe.ChunkEncoder.load(path, cached_chunks)
+        packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens)
+        encoder = bpe.ChunkEncoder(path, cached_chunks) if cached_chunks else bpe.ChunkEncoder.load(path)
         end = np.asarray([end_id], np.uint32)
         for part in text_slices(batches, max_bytes=1 << 20 if cached_chunks else 4 << 20):
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
@@ -139,6 +140,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, tiers=TIERS, step_t
                 if packer.held >= buffer_tokens or len(packer.rows) >= 50_000:
                     yield batch_of(_OUT, packer.pack())
         yield batch_of(_OUT, packer.pack(last=True))
+        if cached_chunks:
+            del encoder, packer
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
