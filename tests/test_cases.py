@@ -135,6 +135,16 @@ def test_a_name_of_all_runs_is_dealt_over_many_tasks(spark):
     assert max(parts) < 0.1 * sum(parts)
 
 
+def test_cells_of_a_product_lie_evenly_in_tasks(spark):
+    rows = spark.range(600).select(F.when(F.col("id") > 0, F.concat(F.lit("r"), "id")).alias("run_id"), F.explode(F.array(F.lit("br_main"), F.lit("br_b"))).alias("branch_id"))
+    notes = spark.range(300).select(F.concat(F.lit("a"), "id").alias("artifact_id"), F.lit("note").alias("artifact_type"), F.lit(None).cast("string").alias("run_id"), F.when(F.col("id") > 5, "branch:br_main").otherwise("branch:br_b").alias("target_ref"), F.lit("[]").alias("payload"))
+    got = artifacts.branch_mentions(rows, notes)
+    parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == got.distinct().count() == 600 * 300
+    assert got.where("run_id is null").count() == 300
+    assert len(parts) == 256 and max(parts) < 3 * sum(parts) / len(parts)
+
+
 def test_fields_of_candidates_merge_open_payloads(spark):
     fields = {f: "v" for f in artifacts.E1_FIELDS} | {"verifier_score": 0.9, "quality_confidence": 0.5, "annotation_kind": "e1"}
     columns = "artifact_id string, artifact_type string, status string, target_ref string, run_id string, session_id string, supersedes_artifact_id string, created_at long, seq long, payload string"
